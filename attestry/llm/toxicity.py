@@ -218,49 +218,54 @@ def scores(texts: pa.Array, model: Model) -> np.ndarray:
     return out
 
 
-def _contexts(texts: list[str], model: Model, kinds: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per block of texts: each word's kind, hash and text, and a hash of the words beside it."""
-    for lo in range(0, len(texts), 256):
-        found, owner = _features(pa.array(texts[lo : lo + 256]), model, (0, *kinds))
+def _contexts(texts: pa.Array, model: Model, kinds: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By block of texts and kind: each word's hash, its text, and a hash of the words beside it."""
+    for lo in range(0, len(texts), 128):
+        found, owner = _features(texts[lo : lo + 128], model, (0, *kinds))
         beside = mix(np.roll(found[0], 1) + mix(np.roll(found[0], -1)))
         for k in kinds:
             ok = found[k] != 0
-            yield np.full(int(ok.sum()), k), found[k][ok], lo + owner[ok], beside[ok]
+            yield k, found[k][ok], (lo + owner[ok]).astype(np.int32), beside[ok]
 
 
-def _lexicon(texts: list[str], toxic: np.ndarray, model: Model, weight: float, purity: float) -> None:
-    """Words and beginnings in more contexts of toxic documents than chance gives, and almost only there."""
-    kinds = (0, *PREFIXES)
-    parts = list(_contexts([t for t, y in zip(texts, toxic, strict=True) if y], model, kinds))
-    kind, value, doc, beside = (np.concatenate(x) for x in zip(*parts, strict=True))
-    name = mix(value + kind.astype(np.uint64))
-    _, first = np.unique(mix(name + mix(beside)), return_index=True)
-    names, index, contexts = np.unique(name[first], return_index=True, return_counts=True)
-    base = toxic.sum() / (toxic.sum() + weight * (~toxic).sum())
-    least = max(4, int(np.ceil((np.log(max(len(names), 2)) + 2.3) / -np.log(min(base, 0.5)))))
-    common = np.flatnonzero(contexts >= least)
-    names, kind_of, value_of = names[common], kind[first[index[common]]], value[first[index[common]]]
+def _documents(names: np.ndarray, value: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """In how many of n documents each of the sorted names occurs."""
+    at = np.minimum(np.searchsorted(names, value), len(names) - 1)
+    hit = names[at] == value
+    pairs = np.unique(at[hit].astype(np.int64) * n + doc[hit])
+    return np.bincount(pairs // n, minlength=len(names)).astype(float)
 
-    def documents(name: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(names, name), max(len(names) - 1, 0))
-        hit = names[at] == name
-        pairs = np.unique(at[hit].astype(np.int64) * len(texts) + doc[hit])
-        return np.bincount(pairs // len(texts), minlength=len(names)).astype(float)
-
-    if not len(names):
-        return
-    total, clean = documents(name, doc), np.zeros(len(names))
-    for kind, value, doc, _ in _contexts([t for t, y in zip(texts, toxic, strict=True) if not y], model, kinds):
-        clean += weight * documents(mix(value + kind.astype(np.uint64)), doc)
-    pure = total >= purity * (total + clean)
-    for k in kinds:
-        mine = np.flatnonzero(pure & (kind_of == k))
-        if len(mine):
-            order = mine[np.argsort(value_of[mine])]
-            model.entries[k] = value_of[order], np.log((clean[order] + 0.5) / (total[order] + clean[order] + 1))
 
+def _lexicon(texts: pa.Array, toxic: np.ndarray, model: Model, weight: float, purity: float) -> None:
+    """Words and beginnings in more contexts of toxic documents than chance gives, and almost only there.
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 3000, max_clean: int = 9000, purity: float = 0.95) -> Model:
+    One kind at a time, so that the driver holds the words of one kind of the bounded sample."""
+    kinds = (0, *PREFIXES)
+    n, bad, good = len(texts), texts.filter(pa.array(toxic)), texts.filter(pa.array(~toxic))
+    base = toxic.sum() / (toxic.sum() + weight * (~toxic).sum())
+    found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    candidates = 0
+    for k in kinds:
+        parts = [x[1:] for x in _contexts(bad, model, (k,))]
+        value, doc, beside = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, first = np.unique(mix(value + mix(beside)), return_index=True)
+        names, contexts = np.unique(value[first], return_counts=True)
+        candidates += len(names)
+        often = contexts >= 4
+        if often.any():
+            found[k] = names[often], contexts[often], _documents(names[often], value, doc, n)
+    least = max(4, int(np.ceil((np.log(max(candidates, 2)) + 2.3) / -np.log(min(base, 0.5)))))
+    found = {k: tuple(x[c >= least] for x in (names, c, total)) for k, (names, c, total) in found.items() if (c >= least).any()}
+    clean = {k: np.zeros(len(x[0])) for k, x in found.items()}
+    for k, value, doc, _ in _contexts(good, model, tuple(found)):
+        clean[k] += weight * _documents(found[k][0], value, doc, n)
+    for k, (names, _, total) in found.items():
+        pure = total >= purity * (total + clean[k])
+        if pure.any():
+            model.entries[k] = names[pure], np.log((clean[k][pure] + 0.5) / (total[pure] + clean[k][pure] + 1))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 2000, max_clean: int = 6000, purity: float = 0.95) -> Model:
     """labels: the rows to learn from. The sample is bounded by max_toxic and max_clean, and chosen by hash."""
     bounded_batches(docs.sparkSession)
     model = Model(language_model(docs, text_col))
@@ -270,13 +275,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = F.broadcast(part[0].unionByName(part[1]))  # at most max_toxic + max_clean rows of two numbers
     got = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(text_col, F.lit("")).alias("t")).join(sample, "i").groupBy("i").agg(F.first("t").alias("t"), F.first("y").alias("y")).toArrow()
     order = np.argsort(got["i"].to_numpy(), kind="stable")
-    texts, y = got["t"].take(pa.array(order)).to_pylist(), got["y"].to_numpy()[order]
+    texts, y = got["t"].combine_chunks().take(pa.array(order)), got["y"].to_numpy()[order]
+    del got
     toxic = y == 1
     if not toxic.any() or toxic.all():
         return model
     weight = (size.get(0, 0) / (~toxic).sum()) / (size[1] / toxic.sum())
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     _lexicon(texts, toxic, model, max(1.0, weight), purity)
-    hit = np.concatenate([scores(pa.array(texts[lo : lo + 256]), model) for lo in range(0, len(texts), 256)]) > 0.5
+    hit = np.concatenate([scores(texts[lo : lo + 256], model) for lo in range(0, len(texts), 256)]) > 0.5
     model.base = float((toxic & ~hit).sum() + 0.1) / float((~hit).sum() + 1) * 0.5
     model.cache = {}
     return model
