@@ -12,11 +12,15 @@
    different components are still compared, so a group of thousands of near copies is not expanded into its pairs,
    and yet no link between components is missed.
 4. The boundary is the size up to which enumerating subsets, over the counted sizes, costs less than scanning lists.
-5. Every candidate is verified on the whole sets: exact intersection, exact size test in integers.
+5. Candidates whose parity bitmaps already differ in more places than linked sets can differ are dropped (a bit is the
+   parity of a set's shingles that fall on it, so bitmaps differ in at most as many bits as sets in shingles). Every
+   other candidate is verified on the whole sets: exact intersection, exact size test in integers. Whole sets are made
+   only for classes in such pairs, in a pass over the texts that a bit table of their ids screens: texts never move.
 
 Defined results: null, empty and blank texts have an empty set, are linked with nothing and are their own component;
-texts of fewer words than a shingle have one shingle, the whole sequence; repeated rows fall in one class; an empty
-table gives an empty result; columns other than id and text are not read."""
+texts of fewer words than a shingle have one shingle, the whole sequence; repeated rows fall in one class; texts that
+only rows without an id have are linked with their equals alone; an empty table gives an empty result; columns other
+than id and text are not read."""
 
 from __future__ import annotations
 
@@ -36,6 +40,7 @@ from .hashing import LOWER, distinct_by_row, mix, shingles, word_hashes
 SKETCH = 1 << 21
 CHUNKS = 32
 BLOOM_WORDS = 1 << 21
+PARITY = 4  # 64-bit words of a parity bitmap
 MOST_SMALL = 24
 
 
@@ -129,7 +134,8 @@ def rarity(profiled: DataFrame) -> np.ndarray:
 
 
 def keys(docs: DataFrame, width: int, seed: int, share: tuple[int, int], most: int, ranks, id_col: str, text_col: str) -> DataFrame:
-    """Per class and task: the subset keys of small sets (kind 0) and the rarest shingles of large ones (kind 1)."""
+    """Per class and task: the subset keys of small sets (kind 0), the rarest shingles of large ones (kind 1), the
+    parity bitmap (kind 2)."""
     num, den = share
     low = _sizes(most + 1, share)[0]
 
@@ -145,6 +151,8 @@ def keys(docs: DataFrame, width: int, seed: int, share: tuple[int, int], most: i
                 if not n or c in seen:
                     continue
                 seen.add(c)
+                odd = np.bincount((values[lo:hi] & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+                out.append((2, c, n, 0, np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()))
                 if n <= most:
                     grouped: dict[int, list[np.ndarray]] = {}
                     own = mix(values[lo:hi])
@@ -165,25 +173,32 @@ def keys(docs: DataFrame, width: int, seed: int, share: tuple[int, int], most: i
     return written(got.mapInArrow(run, "kind int, cls long, n long, s int, keys array<long>"), "keys")
 
 
-def lists(keyed: DataFrame) -> DataFrame:
-    """Entries (key, cls, n, pos) of inverted lists with two entries or more."""
-    spark = keyed.sparkSession
-    large = keyed.filter("kind = 1")
-    shared = written(large.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1").select("key"), "shared")
-    bits = shared.select(F.shiftrightunsigned(F.xxhash64("key"), 37).alias("h")).groupBy(F.shiftright("h", 6).alias("word"))
-    words = bits.agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("bits"))
+def _bit_table(rows: DataFrame, column: str):
+    """A broadcast table of BLOOM_WORDS * 64 bits, one set for each hash in the column: its size is fixed."""
+    hashed = rows.select(F.shiftrightunsigned(F.xxhash64(column), 37).alias("h")).groupBy(F.shiftright("h", 6).alias("word"))
+    got = hashed.agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("bits")).toArrow()
     full = np.zeros(BLOOM_WORDS, np.int64)
-    got = words.toArrow()
     full[got["word"].to_numpy()] = got["bits"].to_numpy()
-    held = spark.sparkContext.broadcast(full)
+    return rows.sparkSession.sparkContext.broadcast(full)
+
+
+def _screened(rows: DataFrame, column: str, held) -> DataFrame:
+    """Rows whose column may be in the table; what is not in it goes before any shuffle."""
 
     def screen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = b["h"].to_numpy()
+            h = b["__h"].to_numpy()
             yield b.filter(pa.array(((held.value[h >> 6] >> (h & 63)) & 1).astype(bool)))
 
-    rows = large.select("cls", "n", F.posexplode("keys").alias("pos", "key")).withColumn("h", F.shiftrightunsigned(F.xxhash64("key"), 37))
-    rows = rows.mapInArrow(screen, rows.schema).drop("h")
+    hashed = rows.withColumn("__h", F.shiftrightunsigned(F.xxhash64(column), 37))
+    return hashed.mapInArrow(screen, hashed.schema).drop("__h")
+
+
+def lists(keyed: DataFrame) -> DataFrame:
+    """Entries (key, cls, n, pos) of inverted lists with two entries or more."""
+    large = keyed.filter("kind = 1")
+    shared = written(large.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1").select("key"), "shared")
+    rows = _screened(large.select("cls", "n", F.posexplode("keys").alias("pos", "key")), "key", _bit_table(shared, "key"))
     return written(rows.join(shared, "key", "left_semi").select("key", "cls", "n", "pos").dropDuplicates(["key", "cls"]), "lists")
 
 
@@ -221,18 +236,33 @@ def _rest_pairs(entries: DataFrame, labels: DataFrame, share: tuple[int, int], m
     return got.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
 
 
-def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(cls, n, set) of the wanted classes, from the text of one document each."""
+def _near(pairs: DataFrame, keyed: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs that their parity bitmaps do not rule out."""
+    num, den = share
+    marks = keyed.filter("kind = 2").select("cls", "n", "keys").dropDuplicates(["cls"])
+    x = marks.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
+    y = marks.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
+    apart = " + ".join(f"bit_count(ka[{i}] ^ kb[{i}])" for i in range(PARITY))
+    most = f"na + nb - 2 * (({num} * (na + nb) + {num + den - 1}) div {num + den})"
+    return pairs.join(x, "a").join(y, "b").filter(f"{apart} <= {most}").select("a", "b")
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """(cls, n, set) of the wanted classes, from the text of one document each; nothing is shuffled."""
     reps = written(classes.join(wanted, "cls", "left_semi").select("cls", "rep"), "wanted")
+    by_id, by_class = _bit_table(reps, "rep"), _bit_table(reps, "cls")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for b in batches:
             values, rows = _sets(b["t"], width)
+            cls, _ = _class_keys(values, rows, seed)
             sets = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b["cls"], pa.array(np.diff(rows)), sets], names=["cls", "n", "set"])
+            first = np.array([not (c in done or done.add(c)) for c in cls.tolist()], bool)
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(np.diff(rows)), sets], names=["cls", "n", "set"]).filter(pa.array(first))
 
-    got = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")).join(reps, "rep").select("cls", "t")
-    return got.mapInArrow(run, "cls long, n long, set array<long>")
+    got = _screened(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), "i", by_id)
+    return _screened(got.mapInArrow(run, "cls long, n long, set array<long>"), "cls", by_class)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -265,15 +295,19 @@ def join_components(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     keyed = keys(docs, width, seed, share, most, spark.sparkContext.broadcast(ranks), id_col, text_col)
     entries = lists(keyed)
 
-    pairs = written(_small_pairs(keyed).unionByName(_first_pairs(entries, share, most)).distinct(), "pairs")
-    sets = written(_sets_of(docs, classes, _nodes(pairs), width, id_col, text_col).dropDuplicates(["cls"]), "sets")
+    # a class has one representative row unless ids repeat; only then must its set be made single again
+    once = rows.groupBy("id").count().filter("count > 1").isEmpty()
+    single = (lambda x: x) if once else (lambda x: x.dropDuplicates(["cls"]))
+
+    pairs = written(_near(_small_pairs(keyed).unionByName(_first_pairs(entries, share, most)).distinct(), keyed, share), "pairs")
+    sets = written(single(_sets_of(docs, classes, _nodes(pairs), width, seed, id_col, text_col)), "sets")
     edges = written(_verified(pairs, sets, share), "links")
     labels = components(edges)
 
-    rest = written(_rest_pairs(entries, labels, share, most).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    rest = written(_near(_rest_pairs(entries, labels, share, most).distinct().join(pairs, ["a", "b"], "left_anti"), keyed, share), "pairs")
     if not rest.isEmpty():
         lacking = _nodes(rest).join(sets, "cls", "left_anti")
-        more = written(_sets_of(docs, classes, lacking, width, id_col, text_col).dropDuplicates(["cls"]), "sets")
+        more = written(single(_sets_of(docs, classes, lacking, width, seed, id_col, text_col)), "sets")
         found = written(_verified(rest, sets.unionByName(more), share), "links")
         if not found.isEmpty():
             labels = components(edges.unionByName(found))
