@@ -30,7 +30,8 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, text_buffer, written
@@ -173,32 +174,32 @@ def keys(docs: DataFrame, width: int, seed: int, share: tuple[int, int], most: i
     return written(got.mapInArrow(run, "kind int, cls long, n long, s int, keys array<long>"), "keys")
 
 
-def _bit_table(rows: DataFrame, column: str):
-    """A broadcast table of BLOOM_WORDS * 64 bits, one set for each hash in the column: its size is fixed."""
-    hashed = rows.select(F.shiftrightunsigned(F.xxhash64(column), 37).alias("h")).groupBy(F.shiftright("h", 6).alias("word"))
-    got = hashed.agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("bits")).toArrow()
+def _bit_table(rows: DataFrame, hashed: Column):
+    """A broadcast table of BLOOM_WORDS * 64 bits, one for each row, at the top bits of a hash: its size is fixed."""
+    at = rows.select(F.shiftrightunsigned(hashed, 37).alias("h")).groupBy(F.shiftright("h", 6).alias("word"))
+    got = at.agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("bits")).toArrow()
     full = np.zeros(BLOOM_WORDS, np.int64)
     full[got["word"].to_numpy()] = got["bits"].to_numpy()
     return rows.sparkSession.sparkContext.broadcast(full)
 
 
-def _screened(rows: DataFrame, column: str, held) -> DataFrame:
-    """Rows whose column may be in the table; what is not in it goes before any shuffle."""
-
-    def screen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = b["__h"].to_numpy()
-            yield b.filter(pa.array(((held.value[h >> 6] >> (h & 63)) & 1).astype(bool)))
-
-    hashed = rows.withColumn("__h", F.shiftrightunsigned(F.xxhash64(column), 37))
-    return hashed.mapInArrow(screen, hashed.schema).drop("__h")
+def _in_table(held, hashed: np.ndarray) -> pa.Array:
+    h = (hashed.view(np.uint64) >> np.uint64(37)).astype(np.int64)
+    return pa.array(((held.value[h >> 6] >> (h & 63)) & 1).astype(bool))
 
 
 def lists(keyed: DataFrame) -> DataFrame:
     """Entries (key, cls, n, pos) of inverted lists with two entries or more."""
     large = keyed.filter("kind = 1")
     shared = written(large.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1").select("key"), "shared")
-    rows = _screened(large.select("cls", "n", F.posexplode("keys").alias("pos", "key")), "key", _bit_table(shared, "key"))
+    held = _bit_table(shared, F.xxhash64("key"))
+
+    def screen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(_in_table(held, b["h"].to_numpy()))
+
+    rows = large.select("cls", "n", F.posexplode("keys").alias("pos", "key")).withColumn("h", F.xxhash64("key"))
+    rows = rows.mapInArrow(screen, rows.schema).drop("h")  # what is surely in one list alone goes before the shuffle
     return written(rows.join(shared, "key", "left_semi").select("key", "cls", "n", "pos").dropDuplicates(["key", "cls"]), "lists")
 
 
@@ -250,19 +251,21 @@ def _near(pairs: DataFrame, keyed: DataFrame, share: tuple[int, int]) -> DataFra
 def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
     """(cls, n, set) of the wanted classes, from the text of one document each; nothing is shuffled."""
     reps = written(classes.join(wanted, "cls", "left_semi").select("cls", "rep"), "wanted")
-    by_id, by_class = _bit_table(reps, "rep"), _bit_table(reps, "cls")
+    by_id, by_class = _bit_table(reps, F.xxhash64("rep")), _bit_table(reps, F.col("cls"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in batches:
+            b = b.filter(_in_table(by_id, b["h"].to_numpy()))
             values, rows = _sets(b["t"], width)
             cls, _ = _class_keys(values, rows, seed)
             sets = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(values.view(np.int64)))
-            first = np.array([not (c in done or done.add(c)) for c in cls.tolist()], bool)
-            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(np.diff(rows)), sets], names=["cls", "n", "set"]).filter(pa.array(first))
+            first = pa.array([not (c in done or done.add(c)) for c in cls.tolist()], pa.bool_())
+            out = pa.RecordBatch.from_arrays([pa.array(cls), pa.array(np.diff(rows)), sets], names=["cls", "n", "set"])
+            yield out.filter(pc.and_(first, _in_table(by_class, cls)))
 
-    got = _screened(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), "i", by_id)
-    return _screened(got.mapInArrow(run, "cls long, n long, set array<long>"), "cls", by_class)
+    got = docs.select(F.xxhash64(F.col(id_col).cast("long")).alias("h"), F.col(text_col).alias("t"))
+    return got.mapInArrow(run, "cls long, n long, set array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
