@@ -121,12 +121,12 @@ def chain(claims: DataFrame, origins: DataFrame, alternatives: Sequence[Sequence
 def translate(lexical: DataFrame, same: DataFrame, fan: int = 8) -> DataFrame:
     """Words to concepts to words of another language. lexical(lemma, language, concept, uses, conf); same(a, b):
     languages taken as equal. Concepts of a word go by uses, then confidence; words of a concept alike, fan at most."""
-    a = lexical.select(F.col("lemma").alias("word"), F.col("language").alias("from"), "concept", F.col("uses").alias("word_uses"))
+    w = Window.partitionBy("concept", "to").orderBy(F.col("uses").desc(), F.col("conf").desc(), "translation")
     b = lexical.select(F.col("lemma").alias("translation"), F.col("language").alias("to"), "concept", "uses", "conf")
+    b = b.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= fan)  # capped before the join, alike for every word
+    a = lexical.select(F.col("lemma").alias("word"), F.col("language").alias("from"), "concept", F.col("uses").alias("word_uses"))
     eq = same.select(F.col("a").alias("from"), F.col("b").alias("to"))
-    rows = a.join(b, "concept").filter("`from` <> `to`").join(eq, ["from", "to"], "left_anti")
-    w = Window.partitionBy("word", "from", "concept", "to").orderBy(F.col("uses").desc(), F.col("conf").desc(), "translation")
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= fan)
+    return a.join(b, "concept").filter("`from` <> `to`").join(eq, ["from", "to"], "left_anti")
 
 
 def language_closure(spark, pairs: DataFrame, rounds: int = 2) -> DataFrame:

@@ -324,13 +324,13 @@ def chain_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
     r AS (SELECT a.lemma AS word, a.language AS "from", a.concept, b.language AS "to", b.lemma AS translation, b.uses,
             row_number() OVER (PARTITION BY a.lemma, a.language, a.concept, b.language ORDER BY b.uses DESC, b.conf DESC, b.lemma) AS rank
           FROM lex a JOIN lex b ON a.concept = b.concept AND a.language <> b.language)
-    SELECT word, "from", concept, "to", translation, CAST(rank AS INT) AS rank FROM r WHERE rank <= 2"""
+    SELECT word, "from", concept, "to", translation, CAST(rank AS INT) AS rank FROM r WHERE rank <= 1"""
 )
 def translate_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of one brand to names of another through the type they share."""
     lex = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("lemma"), F.col("p_brand").alias("language"), F.col("p_type").alias("concept")).agg(F.count("*").alias("uses"), F.min("p_size").alias("conf"))
     same = spark.createDataFrame([], "a string, b string")
-    return C.translate(lex, same, 2).select("word", "from", "concept", "to", "translation", "rank")
+    return C.translate(lex, same, 1).select("word", "from", "concept", "to", "translation", "rank")
 
 
 @register(

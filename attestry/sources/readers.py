@@ -44,8 +44,9 @@ def choose_recipe(path: str, head: str, globs: dict[str, str], interpreters: dic
     for pattern, recipe in globs.items():
         if fnmatch.fnmatch(name, pattern):
             return recipe
-    if m := re.match(r"#!\s*\S*?([^/\s]+)(?:\s+(\S+))?", head):
-        command = m[2] if m[1] == "env" and m[2] else m[1]
+    if m := re.match(r"#!\s*(\S+)(?:[ \t]+(\S+))?", head):
+        command = m[1].rpartition("/")[2]
+        command = m[2] if command == "env" and m[2] else command
         return interpreters.get(command)
     return {"{": "json", "[": "json", "<": "xml"}.get(head.lstrip()[:1])
 
