@@ -774,3 +774,124 @@ def streamed_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ingest.tallies(spark, f"{place}/log")
     return rows.select("claim", "witness", "lineage", "games", "tokens", F.round("wins", 5).alias("wins"))
 
+
+
+# ---------------------------------------------------------------- more planes of the forward pass, identity, windows
+
+
+@register(
+    """WITH l AS (SELECT doc_id, k, line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents)),
+    w AS (SELECT doc_id, k, regexp_extract_all(lower(line), '[\\p{L}\\p{Nd}]+') AS ws FROM l),
+    i AS (SELECT doc_id, k, CASE WHEN len(ws) = 1 THEN ws[1] ELSE substr(sha256(array_to_string(ws, chr(31))), 1, 32) END AS id FROM w WHERE len(ws) > 0)
+    SELECT doc_id, count(*) AS lines, CASE WHEN count(*) = 1 THEN min(id) ELSE substr(sha256(string_agg(id, chr(31) ORDER BY k)), 1, 32) END AS id FROM i GROUP BY doc_id"""
+)
+def composition_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle ids: a line of its words, a document of its lines; one child is that child."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"([\p{L}\p{Nd}]+)"), 1))
+    ids = F.transform(F.filter(lines, lambda w: F.size(w) > 0), content_id_of)
+    rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("c")).filter(F.size("c") > 0)
+    return rows.select("doc_id", F.size("c").cast("long").alias("lines"), content_id_of("c").alias("id"))
+
+
+@register(f"WITH {_words_sql()}, {_B} SELECT DISTINCT word AS id FROM b WHERE word NOT IN (SELECT word FROM w)")
+def presence_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the benchmark that the documents do not hold yet: what an ingest would add."""
+    have = _document_words(spark, sf_dir).select(F.col("child").alias("id"))
+    return K.explode_paths(T.benchmark_paths(spark, sf_dir)).select(F.col("child").alias("id")).distinct().join(have, "id", "left_anti")
+
+
+@register(f"WITH {_words_sql()}, {_B}, s AS (SELECT parent, word AS a, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c FROM b WINDOW o AS (PARTITION BY parent ORDER BY pos)) SELECT parent, count(*) AS spans, count(DISTINCT a || ' ' || b || ' ' || c) AS kinds FROM s WHERE c IS NOT NULL GROUP BY parent")
+def span_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grams = phrases.ngrams(T.benchmark_paths(spark, sf_dir), 3)
+    return grams.groupBy("parent").agg(F.count("*").alias("spans"), F.count_distinct("segment").alias("kinds"))
+
+
+@register(
+    f"""WITH {_words_sql()}, {_B}, e AS (SELECT parent, max(pos) AS last FROM w GROUP BY parent), k AS (SELECT DISTINCT word FROM b WHERE pos = 0),
+    h AS (SELECT w.word AS child, w.parent FROM w JOIN e USING (parent) WHERE w.pos IN (0, e.last)) SELECT child, count(DISTINCT parent) AS parents FROM h JOIN k ON k.word = child GROUP BY child"""
+)
+def endpoint_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that open or close with a word some benchmark item opens with."""
+    ends = K.endpoints(T.document_paths(spark, sf_dir)).select("parent", F.explode(F.array("first", "last")).alias("child"))
+    wanted = K.endpoints(T.benchmark_paths(spark, sf_dir)).select(F.col("first").alias("child")).distinct()
+    return ends.join(wanted, "child", "left_semi").groupBy("child").agg(F.count_distinct("parent").alias("parents"))
+
+
+@register(
+    f"""WITH {_rated_sql(_PLACES, "places")}, e AS (SELECT s AS a, o AS b, conf FROM rated UNION ALL SELECT o, s, conf FROM rated), q AS (SELECT 'region:' || n_regionkey AS prompt, 'nation:' || n_nationkey AS word FROM nation),
+    g AS (SELECT prompt, b AS node, round(sum(conf), 6) AS force, count(DISTINCT word) AS support FROM q JOIN e ON a = word GROUP BY prompt, b), f AS (SELECT g.* FROM g LEFT JOIN q ON q.prompt = g.prompt AND q.word = g.node WHERE q.word IS NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY force DESC, node) AS rank FROM f) SELECT prompt, node, force, support, CAST(rank AS INT) AS rank FROM r WHERE rank <= 12"""
+)
+def pulled_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a region's nations pull: other ends of their claims by summed confidence, the first twelve."""
+    from .plans import firmware, forward
+
+    obs = T.places(spark, sf_dir)
+    known = forward.Knowledge(T.claim_table(obs), fold.tally(obs))
+    prompts = table(spark, sf_dir, "nation").select(T.entity("region", "n_regionkey").alias("prompt"), T.entity("nation", "n_nationkey").alias("word"))
+    return forward.pulled(known, prompts, firmware.Firmware(), 12).withColumn("force", F.round("force", 6))
+
+
+@register(
+    """WITH p AS (SELECT user_id, event_type AS node, count(*) AS agree, round(max(value), 6) AS confidence FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY agree DESC, confidence DESC, node) AS k FROM p)
+    SELECT user_id, node, agree, confidence FROM r WHERE k = 1"""
+)
+def elect_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("node")).agg(F.count("*").alias("agree"), F.round(F.max("value"), 6).alias("confidence"))
+    return graph.elect(rows, "user_id", ["agree", "confidence"])
+
+
+@register(
+    f"""WITH o AS (SELECT {_ID.format("'user:' || user_id, event_type")} AS claim, event_type AS witness, event_id % 3 AS batch FROM events), n AS (SELECT *, max(batch) OVER (PARTITION BY witness) AS newest FROM o)
+    SELECT claim, witness, count(*) AS games FROM n WHERE batch = newest GROUP BY claim, witness"""
+)
+def superseded_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the newest reading of each witness counts."""
+    from .streaming.ingest import current
+
+    ev = table(spark, sf_dir, "events")
+    log = ev.select(content_id(F.concat(F.lit("user:"), F.col("user_id").cast("string")), "event_type").alias("claim"), F.col("event_type").alias("witness"), (F.col("event_id") % 3).alias("batch"))
+    return current(log).groupBy("claim", "witness").agg(F.count("*").alias("games"))
+
+
+@register(
+    f"""WITH RECURSIVE {_EDGES}, k AS (SELECT 'customer:' || c_custkey AS key, c_custkey % 8 AS bit FROM customer), up(bit, node) AS (SELECT bit, key FROM k UNION SELECT u.bit, e.parent FROM up u JOIN edges e ON e.child = u.node)
+    SELECT node, CAST(bit_or(CAST(1 AS BIGINT) << CAST(bit AS INT)) AS BIGINT) AS keys FROM up GROUP BY node"""
+)
+def closure_keymask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of eight groups of customers reach each node, as bits."""
+    edges = _place_edges(spark, sf_dir)
+    marks = table(spark, sf_dir, "customer").select(T.entity("customer", "c_custkey").alias("key"), (F.col("c_custkey") % 8).cast("int").alias("bit"))
+    # the bit is the key of the closure: a group goes up once, however many customers it has
+    first = edges.join(marks, edges.child == marks.key).select(F.col("bit").cast("string").alias("key"), F.col("parent").alias("node")).distinct()
+    linked = first.select(F.col("key").alias("child"), F.col("node").alias("parent")).unionByName(edges.filter("child not like 'customer:%' and child not like 'supplier:%'"))
+    up = K.closure(spark, linked, first.select("key").distinct(), 16).filter("node <> key").select("node", F.col("key").cast("int").alias("bit"))
+    both = up.unionByName(marks.select(F.col("key").alias("node"), "bit"))
+    return both.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("keys"))
+
+
+@register("SELECT 'p_retailprice' AS field, count(p_retailprice) AS rows FROM part UNION ALL SELECT 'extra', count(*) FROM part")
+def unread_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields the recipe does not mention, counted."""
+    rows = table(spark, sf_dir, "part").withColumn("extra", F.lit("x"))
+    return recipes.obligations(rows, recipes.parse(_PART_RECIPE.replace("omit p_retailprice", "")))
+
+
+@register(
+    f"""WITH {_words_sql()}, {_grams_sql(1, "w", "g")} SELECT segment AS word, next AS beside, count(DISTINCT parent) AS paths FROM g WHERE next IS NOT NULL AND segment < next GROUP BY 1, 2 HAVING count(DISTINCT parent) >= 5"""
+)
+def role_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjacent pairs in alphabetical order and the paths that hold them in that order."""
+    grams = phrases.ngrams(T.document_paths(spark, sf_dir), 1).filter("next is not null and segment < next")
+    return grams.groupBy(F.col("segment").alias("word"), F.col("next").alias("beside")).agg(F.count_distinct("parent").alias("paths")).filter("paths >= 5")
+
+
+@register(
+    f"""WITH {_SUPPLY}, {_tally_sql("supply")}, {_standing_sql()}, p AS (SELECT s AS src, claim, conf FROM standing JOIN (SELECT DISTINCT claim, s FROM supply) USING (claim)), m AS (SELECT src, max(conf) AS best FROM p GROUP BY src)
+    SELECT src, count(*) AS near FROM p JOIN m USING (src) WHERE conf >= best * 0.8 GROUP BY src"""
+)
+def top_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many claims of each part stand within a fifth of its best."""
+    rows = T.rated(T.supply(spark, sf_dir)).select(F.element_at("parts", 1).alias("src"), "claim", "conf")
+    best = rows.groupBy("src").agg(F.max("conf").alias("best"))
+    return rows.join(best, "src").filter("conf >= best * cast(0.8 as double)").groupBy("src").agg(F.count("*").alias("near"))
