@@ -14,8 +14,8 @@
 4. The boundary is the size up to which enumerating subsets, over the counted sizes, costs less than scanning lists.
 5. Candidates whose parity bitmaps already differ in more places than linked sets can differ are dropped (a bit is the
    parity of a set's shingles that fall on it, so bitmaps differ in at most as many bits as sets in shingles). Every
-   other candidate is verified on the whole sets: exact intersection, exact size test in integers. Whole sets are made
-   only for classes in such pairs, in a pass over the texts that a bit table of their ids screens: texts never move.
+   other candidate is verified on the whole sets: exact intersection, exact size test in integers. Only the texts of
+   classes in such pairs move; a pass over all texts picks them by a bit table of their ids.
 
 Defined results: null, empty and blank texts have an empty set, are linked with nothing and are their own component;
 texts of fewer words than a shingle have one shingle, the whole sequence; repeated rows fall in one class; texts that
@@ -248,8 +248,8 @@ def _near(pairs: DataFrame, keyed: DataFrame, share: tuple[int, int]) -> DataFra
     return pairs.join(x, "a").join(y, "b").filter(f"{apart} <= {most}").select("a", "b")
 
 
-def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """(cls, n, set) of the wanted classes, from the text of one document each; nothing is shuffled."""
+def _texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """(cls, t): one text of each wanted class; nothing is shuffled. A text is smaller than its set of hashes."""
     reps = written(classes.join(wanted, "cls", "left_semi").select("cls", "rep"), "wanted")
     by_id, by_class = _bit_table(reps, F.xxhash64("rep")), _bit_table(reps, F.col("cls"))
 
@@ -257,23 +257,30 @@ def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int,
         done: set[int] = set()
         for b in batches:
             b = b.filter(_in_table(by_id, b["h"].to_numpy()))
-            values, rows = _sets(b["t"], width)
-            cls, _ = _class_keys(values, rows, seed)
-            sets = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(values.view(np.int64)))
+            cls, _ = _class_keys(*_sets(b["t"], width), seed)
             first = pa.array([not (c in done or done.add(c)) for c in cls.tolist()], pa.bool_())
-            out = pa.RecordBatch.from_arrays([pa.array(cls), pa.array(np.diff(rows)), sets], names=["cls", "n", "set"])
-            yield out.filter(pc.and_(first, _in_table(by_class, cls)))
+            yield pa.RecordBatch.from_arrays([pa.array(cls), b["t"]], names=["cls", "t"]).filter(pc.and_(first, _in_table(by_class, cls)))
 
     got = docs.select(F.xxhash64(F.col(id_col).cast("long")).alias("h"), F.col(text_col).alias("t"))
-    return got.mapInArrow(run, "cls long, n long, set array<long>")
+    return got.mapInArrow(run, "cls long, t string")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+    """Pairs whose whole sets meet the similarity."""
     num, den = share
-    x = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
-    y = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"))
-    return both.filter(f"{den} * i >= {num} * (na + nb - i)").select("a", "b")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (x, p), (y, q) = _sets(b["ta"], width), _sets(b["tb"], width)
+            ok = np.zeros(b.num_rows, bool)
+            for r in range(b.num_rows):
+                u, v = x[p[r] : p[r + 1]], y[q[r] : q[r + 1]]
+                shared = len(np.intersect1d(u, v, assume_unique=True))
+                ok[r] = den * shared >= num * (len(u) + len(v) - shared)
+            yield b.select(["a", "b"]).filter(pa.array(ok))
+
+    x, y = (texts.select(F.col("cls").alias(k), F.col("t").alias(f"t{k}")) for k in ("a", "b"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _nodes(pairs: DataFrame) -> DataFrame:
@@ -298,20 +305,19 @@ def join_components(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     keyed = keys(docs, width, seed, share, most, spark.sparkContext.broadcast(ranks), id_col, text_col)
     entries = lists(keyed)
 
-    # a class has one representative row unless ids repeat; only then must its set be made single again
+    # a class has one representative row unless ids repeat; only then must its text be made single again
     once = rows.groupBy("id").count().filter("count > 1").isEmpty()
     single = (lambda x: x) if once else (lambda x: x.dropDuplicates(["cls"]))
 
     pairs = written(_near(_small_pairs(keyed).unionByName(_first_pairs(entries, share, most)).distinct(), keyed, share), "pairs")
-    sets = written(single(_sets_of(docs, classes, _nodes(pairs), width, seed, id_col, text_col)), "sets")
-    edges = written(_verified(pairs, sets, share), "links")
+    texts = written(single(_texts_of(docs, classes, _nodes(pairs), width, seed, id_col, text_col)), "texts")
+    edges = written(_verified(pairs, texts, width, share), "links")
     labels = components(edges)
 
     rest = written(_near(_rest_pairs(entries, labels, share, most).distinct().join(pairs, ["a", "b"], "left_anti"), keyed, share), "pairs")
     if not rest.isEmpty():
-        lacking = _nodes(rest).join(sets, "cls", "left_anti")
-        more = written(single(_sets_of(docs, classes, lacking, width, seed, id_col, text_col)), "sets")
-        found = written(_verified(rest, sets.unionByName(more), share), "links")
+        texts = written(single(_texts_of(docs, classes, _nodes(rest), width, seed, id_col, text_col)), "texts")
+        found = written(_verified(rest, texts, width, share), "links")
         if not found.isEmpty():
             labels = components(edges.unionByName(found))
 
