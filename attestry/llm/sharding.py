@@ -87,12 +87,28 @@ def slot_bytes(placed: DataFrame) -> DataFrame:
     return placed.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
 
 
+def store_map(placed: DataFrame, versions: dict[int, Sequence[int]]) -> DataFrame:
+    """Write the versions of the map with each slot's bytes and rows: (version, vslot, owner, bytes, rows)."""
+    sums = slot_bytes(placed)
+    return written(map_table(placed.sparkSession, versions).join(sums, "vslot", "left").fillna(0, ["bytes", "rows"]), "slot-map")
+
+
+def edit_map(stored: DataFrame, version: int, shards: int, slack: float = 0.02) -> DataFrame:
+    """The next version of a stored map, rebalanced by bytes; SLOTS rows pass through the driver, whatever the input."""
+    rows = sorted(stored.filter(F.col("version") == version).select("vslot", "owner", "bytes").collect())
+    owners = rebalance([r["owner"] for r in rows], [r["bytes"] for r in rows], shards, slack)
+    spark = stored.sparkSession
+    new = map_table(spark, {version + 1: owners}).join(stored.filter(F.col("version") == version).select("vslot", "bytes", "rows"), "vslot")
+    return written(stored.unionByName(new), "slot-map")
+
+
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The law `key`: id and shard count decide. Returns doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot."""
     spark = docs.sparkSession
     owners = owners_of(shards)
-    maps = written(map_table(spark, {shards: owners, shards + 1: grow(owners, shards)}).groupBy("vslot").pivot("version", [shards, shards + 1]).agg(F.first("owner")).toDF("vslot", "shard", "grown_shard"), "slot-map")
     placed = place(docs, id_col, text_col)
+    stored = store_map(placed, {shards: owners, shards + 1: grow(owners, shards)})
+    maps = stored.groupBy("vslot").pivot("version", [shards, shards + 1]).agg(F.first("owner")).toDF("vslot", "shard", "grown_shard")
     counts = written(placed.groupBy("vslot", "part").agg(F.count("*").alias("n")), "slot-counts")
     whole = counts.groupBy("vslot").agg(F.sum("n").alias("rows")).join(maps, "vslot")
     before = F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot")) - F.col("rows")  # SLOTS rows in all

@@ -26,6 +26,16 @@ def test_rebalancing_edits_a_copy_and_evens_bytes():
     assert owners == S.owners_of(4, 64) and max(load(after)) - min(load(after)) < max(load(owners)) - min(load(owners))
 
 
+def test_a_stored_map_is_edited_under_the_next_version(spark):
+    placed = S.place(spark.createDataFrame([(i, "x" * (i % 90)) for i in range(3000)], "doc_id long, text string"))
+    one = S.store_map(placed, {1: S.owners_of(8)})
+    two = S.edit_map(one, 1, 8).toPandas()
+    assert len(two) == 2 * S.SLOTS and set(two.version) == {1, 2} and two[two.version == 2].rows.sum() == 3000
+    load = two.groupby(["version", "owner"]).bytes.sum()
+    assert load[2].max() - load[2].min() <= load[1].max() - load[1].min()
+    assert (two[two.version == 1].sort_values("vslot").owner.to_numpy() == S.owners_of(8)).all()
+
+
 def test_shards(spark):
     rows = [(i, f"text {i}" if i % 7 else None, "a", "k") for i in range(2000)] + [(5, "again", "a", "k")] * 900 + [(None, "no id", None, "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, shard string, law string").repartition(5)
