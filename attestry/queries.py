@@ -895,3 +895,44 @@ def top_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.rated(T.supply(spark, sf_dir)).select(F.element_at("parts", 1).alias("src"), "claim", "conf")
     best = rows.groupBy("src").agg(F.max("conf").alias("best"))
     return rows.join(best, "src").filter("conf >= best * cast(0.8 as double)").groupBy("src").agg(F.count("*").alias("near"))
+
+
+# ---------------------------------------------------------------- vocabularies and coordinates
+
+
+@register(
+    """WITH a AS (SELECT DISTINCT p_brand AS list, p_type AS key FROM part WHERE p_partkey % 2 = 0), f AS (SELECT list, key, row_number() OVER (PARTITION BY list ORDER BY key) - 1 AS slot FROM a),
+    n AS (SELECT DISTINCT p_brand AS list, p_type AS key FROM part EXCEPT SELECT list, key FROM f), m AS (SELECT list, max(slot) AS last FROM f GROUP BY list)
+    SELECT list, key, CAST(slot AS BIGINT) AS slot FROM f UNION ALL SELECT n.list, key, CAST(coalesce(last, -1) + row_number() OVER (PARTITION BY n.list ORDER BY key) AS BIGINT) FROM n LEFT JOIN m ON m.list = n.list"""
+)
+def vocabulary_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of the types of each brand: frozen for one half of the parts, then grown by the other."""
+    from .operators import vocabulary
+
+    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("list"), F.col("p_type").alias("key"), "p_partkey")
+    frozen = vocabulary.freeze(part.filter("p_partkey % 2 = 0"))
+    return vocabulary.freeze(part, frozen).withColumn("slot", F.col("slot").cast("long"))
+
+
+@register("SELECT p_partkey, CAST((p_size & 63) | ((length(p_brand) & 15) << 6) | ((length(p_type) & 31) << 10) AS BIGINT) AS mask, CAST(length(p_brand) & 15 AS BIGINT) AS brand FROM part")
+def bank_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import vocabulary
+
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.length("p_brand").alias("b"), F.length("p_type").alias("t"))
+    packed = vocabulary.pack_banks(rows, {"p_size": (0, 6), "b": (6, 4), "t": (10, 5)})
+    return packed.select("p_partkey", "mask", vocabulary.unpack_bank("mask", 6, 4).alias("brand"))
+
+
+@register(
+    """WITH p AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, embedding[4]::DOUBLE AS m, 1 + vec_id % 3 AS run FROM embeddings)
+    SELECT CAST(label AS VARCHAR) AS id, round(sum(x * run) / sum(run), 6) AS x, round(sum(y * run) / sum(run), 6) AS y, round(sum(z * run) / sum(run), 6) AS z, round(sum(m * run) / sum(run), 6) AS m FROM p GROUP BY label"""
+)
+def mean_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates of labels as compositions of their vectors, a vector running once to three times."""
+    from .operators import coordinates
+
+    v = table(spark, sf_dir, "embeddings")
+    known = v.select(F.col("vec_id").cast("string").alias("id"), *[F.get("embedding", F.lit(i)).cast("double").alias(a) for i, a in enumerate(coordinates.AXES)])
+    held = v.select(F.col("vec_id").cast("string").alias("child"), F.col("label").cast("string").alias("parent"), (1 + F.col("vec_id") % 3).alias("run"))
+    got = coordinates.mean_coordinates(held, known)
+    return got.select("id", *[F.round(a, 6).alias(a) for a in coordinates.AXES])

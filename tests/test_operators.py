@@ -1,4 +1,5 @@
 import math
+import struct
 
 import numpy as np
 import pytest
@@ -7,10 +8,10 @@ from pyspark.sql import functions as F
 from attestry.functions import core
 from attestry.operators import claims as C
 from attestry.operators import containment as K
-from attestry.operators import fold, graph, keys, phrases, shape
+from attestry.operators import coordinates, fold, graph, keys, phrases, shape, vocabulary
 from attestry.plans import firmware, forward, recipe
 from attestry.plans.tables import claim_table
-from attestry.sources import readers
+from attestry.sources import readers, shapes
 from attestry.streaming import ingest
 
 
@@ -320,3 +321,50 @@ def test_stream_counts_each_file_once(spark, tmp_path):
     ingest.ingest(spark, place("in"), schema, lambda b: b, place("log"), place("state"))
     assert {r.claim: r.games for r in ingest.tallies(spark, place("log")).collect()} == {"c": 2, "d": 1}
     assert [(r.claim, r.wins) for r in ingest.tallies(spark, place("log"), supersede=True).collect()] == [("c", 0.0)]
+
+
+def test_vocabularies(spark):
+    names = spark.createDataFrame([("l", "b"), ("l", "a"), ("m", "z")], "list string, key string")
+    one = vocabulary.freeze(names)
+    two = vocabulary.freeze(names.unionByName(spark.createDataFrame([("l", "A"), ("n", "q")], "list string, key string")), one)
+    assert {(r.list, r.key): r.slot for r in two.collect()} == {("l", "a"): 0, ("l", "b"): 1, ("m", "z"): 0, ("l", "A"): 2, ("n", "q"): 0}
+    alias = spark.createDataFrame([("l", "y", "x"), ("l", "x", "a"), ("l", "lost", "nowhere")], "list string, alias string, key string")
+    got = {r.key: r.slot for r in vocabulary.with_aliases(one.filter("list = 'l'"), alias).collect()}
+    assert got == {"a": 0, "b": 1, "x": 0, "y": 0}
+    pairs = spark.createDataFrame([("l", "a", "m", "z"), ("l", "b", "m", "z"), ("l", "b", "m", "w")], "list_a string, key_a string, list_b string, key_b string")
+    both = vocabulary.edges_both_ways(pairs)
+    assert both.count() == 6
+    assert {r.key: r.target for r in vocabulary.crosswalk(one.filter("list = 'l'"), both, "m").collect()} == {"a": "z", "b": None}
+    cps = vocabulary.codepoints(spark, spark.createDataFrame([("0041..0043", "Lu"), ("1F600", "So")], "span string, property string"))
+    assert [(r.cp, r.property) for r in cps.orderBy("cp").collect()] == [(65, "Lu"), (66, "Lu"), (67, "Lu"), (128512, "So")]
+
+
+def test_coordinates(spark):
+    atoms = spark.createDataFrame([("a", 1.0, 0.0, 0.0, 0.0), ("b", 0.0, 1.0, 0.0, 0.0)], "id string, x double, y double, z double, m double")
+    held = spark.createDataFrame([("a", "ab", 3, 1), ("b", "ab", 1, 1), ("ab", "top", 1, 2), ("b", "top", 1, 2)], "child string, parent string, run int, tier int")
+    got = {r.id: (r.x, r.y) for r in coordinates.climb(held, atoms, 2).collect()}
+    assert got["ab"] == (0.75, 0.25) and got["top"] == (0.375, 0.625)
+    assert coordinates.audit(coordinates.climb(held, atoms, 2), coordinates.climb(held, atoms, 2)).count() == 0
+    with pytest.raises(Exception, match="no coordinate"):
+        coordinates.mean_coordinates(spark.createDataFrame([("zz", "p", 1)], "child string, parent string, run int"), atoms).collect()
+    side = np.linspace(-1, 1, 8)
+    grid = np.array([(x, y) for x in side for y in side])
+    order = grid[np.argsort(coordinates.hilbert(grid, 3))]
+    assert len({*coordinates.hilbert(grid, 3).tolist()}) == 64 and np.allclose(np.abs(np.diff(order, axis=0)).sum(1), side[1] - side[0])
+    rows = coordinates.publication_order(coordinates.with_hilbert(atoms), 2)
+    assert rows.count() == 2
+
+
+def test_shapefiles(spark, tmp_path):
+    point = struct.pack("<i2d", 1, -97.7431, 30.2672)
+    box = struct.pack("<4d", 0, 0, 0, 0)
+    poly = struct.pack("<i", 5) + box + struct.pack("<2i", 1, 4) + struct.pack("<i", 0) + struct.pack("<8d", 0, 0, 1, 0, 1, 1, 0, 0)
+    records = b"".join(struct.pack(">2i", i + 1, len(r) // 2) + r for i, r in enumerate((point, poly, struct.pack("<i", 0))))
+    (tmp_path / "t.shp").write_bytes(b"\0" * 100 + records)
+    names = [b"Austin    ", b"Square    ", b"None      "]
+    field = b"NAME".ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([10]) + b"\0" * 15
+    (tmp_path / "t.dbf").write_bytes(b"\x03\0\0\0" + struct.pack("<IHH", 3, 65, 11) + b"\0" * 20 + field + b"\x0d" + b"".join(b" " + n for n in names))
+    got = [(r.shape_type, r.wkt, r.fields["NAME"]) for r in shapes.read(spark, str(tmp_path)).orderBy("ordinal").collect()]
+    assert got == [("Point", "POINT (-97.7431 30.2672)", "Austin"), ("Polygon", "POLYGON ((0 0, 1 0, 1 1, 0 0))", "Square"), ("Null", None, "None")]
+    with pytest.raises(ValueError, match="cut off"):
+        list(shapes.geometries(b"\0" * 100 + records[:20]))
