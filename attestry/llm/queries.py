@@ -73,6 +73,42 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality, op2_ngram_jaccard, op3_best_fit_packing, op4_html_extraction, op5_warc, op6_sharding, op7_exact_dedup, op8_decontamination, op9_toxicity, op10_chat_format)}
 
 
+#: Exact: the classes of equal sets, every linked pair over shared shingles, and the least id reachable.
+OP2_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d
+), c AS MATERIALIZED (
+  SELECT min(doc_id) AS rep, list_sort(g) AS g, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY 2, 3
+), e AS MATERIALIZED (
+  SELECT rep, n, unnest(g) AS k FROM c
+), l AS MATERIALIZED (
+  SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.k = b.k AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), u AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT rep AS node, rep AS reach FROM c UNION SELECT u.b, r.reach FROM r JOIN u ON u.a = r.node AND r.reach < u.b
+), m AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node)
+SELECT s.doc_id, len(s.g) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON len(s.g) > 0 AND c.g = list_sort(s.g) LEFT JOIN m ON m.node = c.rep
+"""
+
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS body FROM pages
+), g AS (
+  SELECT *, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS last FROM p
+)
+SELECT page_id, url, octet_length(encode(body)) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + CAST((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM g
+"""
+
 OP7_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
@@ -82,6 +118,27 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
 """
 
+#: Exact containment without a sketch: all shingles of all documents against those of the items.
+OP8_SQL = """
+WITH d AS (
+  SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents
+), b AS (
+  SELECT item_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark
+), items AS (
+  SELECT id, least(5, len(w)) AS k, unnest(list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' ')))) AS g
+  FROM b WHERE len(w) > 0
+), sizes AS (
+  SELECT id, count(*) AS n FROM items GROUP BY id
+), widths AS (SELECT DISTINCT k FROM items
+), held AS (
+  SELECT d.id, k, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))) AS g
+  FROM d, widths WHERE len(w) >= k
+), shared AS (
+  SELECT held.id AS doc_id, items.id AS item_id, count(*) AS n_shared FROM held JOIN items USING (k, g) GROUP BY 1, 2
+)
+SELECT doc_id, item_id, n_shared, n AS n_shingles, n_shared / n AS containment FROM shared JOIN sizes ON sizes.id = item_id WHERE n_shared >= 0.8 * n
+"""
+
 OP10_SQL = """
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -105,4 +162,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op10_chat_format": OP10_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op5_warc": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_chat_format": OP10_SQL}
