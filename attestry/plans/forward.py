@@ -56,7 +56,7 @@ def pulled(known: Knowledge, prompts: DataFrame, fw: Firmware, limit: int = 12,
 
     prompts(prompt, word)"""
     ways = edges(known.read(fw, allowed))
-    got = prompts.join(ways, prompts.word == ways.a).groupBy("prompt", F.col("b").alias("node")).agg(F.sum("conf").alias("force"), F.count_distinct("word").alias("support"))
+    got = prompts.join(ways, prompts.word == ways.a).groupBy("prompt", F.col("b").alias("node")).agg(F.round(F.sum("conf"), 9).alias("force"), F.count_distinct("word").alias("support"))
     got = got.join(prompts.select("prompt", F.col("word").alias("node")), ["prompt", "node"], "left_anti")
     w = Window.partitionBy("prompt").orderBy(F.col("force").desc(), "node")
     return got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)

@@ -367,23 +367,23 @@ def path_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {_words_sql()}, {_words_sql("benchmark", "item_id", "b")}, k AS (SELECT DISTINCT parent AS set_id, word FROM b WHERE pos < 6), n AS (SELECT set_id, count(*) AS n FROM k GROUP BY set_id),
+    f"""WITH {_words_sql()}, {_words_sql("benchmark", "item_id", "b")}, k AS (SELECT DISTINCT parent AS set_id, word FROM b), n AS (SELECT set_id, count(*) AS n FROM k GROUP BY set_id),
     h AS (SELECT DISTINCT parent, word FROM w), g AS (SELECT set_id, parent, count(*) AS m FROM h JOIN k USING (word) GROUP BY set_id, parent)
     SELECT g.set_id, g.parent FROM g JOIN n USING (set_id) WHERE m = n"""
 )
 def holders_all_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold each of the six opening words of a benchmark item."""
-    sets = K.explode_paths(T.benchmark_paths(spark, sf_dir)).filter("pos < 6").select(F.col("parent").alias("set_id"), F.col("child").alias("key"))
+    """Documents that hold every word of a benchmark item."""
+    sets = K.explode_paths(T.benchmark_paths(spark, sf_dir)).select(F.col("parent").alias("set_id"), F.col("child").alias("key"))
     return K.holders_all(_document_words(spark, sf_dir), sets)
 
 
 @register(
-    f"""WITH {_words_sql()}, {_words_sql("benchmark", "item_id", "b")}, p AS (SELECT DISTINCT x.word AS a, y.word AS b FROM b x JOIN b y ON x.parent = y.parent AND y.pos = x.pos + 1 WHERE x.pos % 10 = 0),
+    f"""WITH {_words_sql()}, {_words_sql("benchmark", "item_id", "b")}, p AS (SELECT DISTINCT x.word AS a, y.word AS b FROM b x JOIN b y ON x.parent = y.parent AND y.pos = x.pos + 1),
     h AS (SELECT DISTINCT parent, word FROM w) SELECT a, b, count(*) AS parents FROM p JOIN h x ON x.word = a JOIN h y ON y.word = b AND y.parent = x.parent GROUP BY a, b"""
 )
 def holders_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents hold both words of each tenth adjacent pair of the benchmark."""
-    grams = phrases.ngrams(T.benchmark_paths(spark, sf_dir), 1).filter("next is not null and pos % 10 = 0")
+    """How many documents hold both words of each adjacent pair of the benchmark."""
+    grams = phrases.ngrams(T.benchmark_paths(spark, sf_dir), 1).filter("next is not null")
     pairs = grams.select(F.col("segment").alias("a"), F.col("next").alias("b"))
     return K.holders_pair(_document_words(spark, sf_dir), pairs).groupBy("a", "b").agg(F.count("*").alias("parents"))
 
@@ -819,8 +819,8 @@ def endpoint_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     f"""WITH {_rated_sql(_PLACES, "places")}, e AS (SELECT s AS a, o AS b, conf FROM rated UNION ALL SELECT o, s, conf FROM rated), q AS (SELECT 'region:' || n_regionkey AS prompt, 'nation:' || n_nationkey AS word FROM nation),
-    g AS (SELECT prompt, b AS node, round(sum(conf), 6) AS force, count(DISTINCT word) AS support FROM q JOIN e ON a = word GROUP BY prompt, b), f AS (SELECT g.* FROM g LEFT JOIN q ON q.prompt = g.prompt AND q.word = g.node WHERE q.word IS NULL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY force DESC, node) AS rank FROM f) SELECT prompt, node, force, support, CAST(rank AS INT) AS rank FROM r WHERE rank <= 12"""
+    g AS (SELECT prompt, b AS node, round(sum(conf), 9) AS force, count(DISTINCT word) AS support FROM q JOIN e ON a = word GROUP BY prompt, b), f AS (SELECT g.* FROM g LEFT JOIN q ON q.prompt = g.prompt AND q.word = g.node WHERE q.word IS NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY force DESC, node) AS rank FROM f) SELECT prompt, node, round(force, 6) AS force, support, CAST(rank AS INT) AS rank FROM r WHERE rank <= 12"""
 )
 def pulled_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a region's nations pull: other ends of their claims by summed confidence, the first twelve."""
@@ -878,12 +878,12 @@ def unread_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {_words_sql()}, {_grams_sql(1, "w", "g")} SELECT segment AS word, next AS beside, count(DISTINCT parent) AS paths FROM g WHERE next IS NOT NULL AND segment < next GROUP BY 1, 2 HAVING count(DISTINCT parent) >= 5"""
+    f"""WITH {_words_sql()}, {_grams_sql(1, "w", "g")} SELECT segment AS word, next AS beside, count(DISTINCT parent) AS paths FROM g WHERE next IS NOT NULL AND segment < next GROUP BY 1, 2"""
 )
 def role_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adjacent pairs in alphabetical order and the paths that hold them in that order."""
     grams = phrases.ngrams(T.document_paths(spark, sf_dir), 1).filter("next is not null and segment < next")
-    return grams.groupBy(F.col("segment").alias("word"), F.col("next").alias("beside")).agg(F.count_distinct("parent").alias("paths")).filter("paths >= 5")
+    return grams.groupBy(F.col("segment").alias("word"), F.col("next").alias("beside")).agg(F.count_distinct("parent").alias("paths"))
 
 
 @register(
