@@ -3,7 +3,8 @@
 Channel: a writer may swap letters for look-alikes (1d10t), drop separators between letters (i.d i o t) or repeat
 letters (idiiiot). A token that shows one of these becomes a character lattice; Viterbi over its states (the last two
 letters) finds the likeliest letters under a trigram language model of the characters of all documents, counted by
-Spark in one pass. Ordinary tokens are their own restoration and skip the lattice.
+Spark in one pass. Tokens of one batch that are equal are restored once; those that show none of these are their own
+restoration and skip the lattice.
 
 Score: a lexicon of words and word beginnings is learned from labelled rows: those that stand in toxic documents in more
 different contexts (neighbouring words) than chance over all candidates would give, and almost only there. Contexts,
@@ -45,10 +46,9 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 GAPS = " .-_*'~"
 _LEET_BYTE = np.zeros(256, bool)
 _LEET_BYTE[[ord(c) for c in LEET if ord(c) < 128]] = True
-_END_LEET = _LEET_BYTE.copy()
-_END_LEET[[ord(c) for c in "!|+"]] = False
-_GAP_BYTE = np.zeros(256, bool)
-_GAP_BYTE[[ord(c) for c in GAPS[1:]]] = True
+#: Look-alikes that end a word as punctuation.
+_END_MARK = np.zeros(256, bool)
+_END_MARK[[ord(c) for c in "!|+"]] = True
 _SWAP_COST, _GAP_COST, _REPEAT_COST = 1.0, 0.5, 1.0
 
 
@@ -94,12 +94,12 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def restore(token: str, logp: np.ndarray, best: int = 3) -> tuple[str, ...]:
     """The likeliest letter strings behind an obfuscated token, best first (Viterbi over the last two letters)."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # texts are linked from their last letter
     last = ""
     for ch in token:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
-        def reach(state: tuple[int, int], cost: float, text: str, new=new) -> None:
+        def reach(state: tuple[int, int], cost: float, text: tuple | None, new=new) -> None:
             if state not in new or new[state][0] > cost:
                 new[state] = cost, text
 
@@ -115,19 +115,55 @@ def restore(token: str, logp: np.ndarray, best: int = 3) -> tuple[str, ...]:
                     c = int(CLASS[byte])
                     extra -= float(logp[a * SIZE + b, c])
                     a, b = b, c
-                reach((a, b), cost + extra, text + o)
+                reach((a, b), cost + extra, (text, o))
         states, last = new, ch
-    ends = sorted((cost - float(logp[p * SIZE + q, 0]), text) for (p, q), (cost, text) in states.items() if text)
+
+    def spelt(text: tuple | None) -> str:
+        out = []
+        while text:
+            text, o = text
+            out.append(o)
+        return "".join(reversed(out))
+
+    ends = sorted((cost - float(logp[p * SIZE + q, 0]), spelt(text)) for (p, q), (cost, text) in states.items() if text)
     return tuple(dict.fromkeys(text for _, text in ends[:best]))
 
 
-def suspects(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, str]]:
-    """(row, token) of lower-case texts: tokens with a swap, an inner gap or a letter three times running, and runs of
-    three or more single letters, whose spaces are then the gaps. A symbol three times running is decoration."""
+def _shapes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By byte: letter; look-alike; start of a repeated code point; start of a code point."""
+    n = len(raw)
+    letter, leet, point = CLASS[raw] > 0, _LEET_BYTE[raw], np.ones(n, bool)
+    same = np.zeros(n, bool)
+    same[1:] = (raw[1:] == raw[:-1]) & (raw[1:] < 128)
+    high = np.flatnonzero(raw >= 0xC0)
+    if len(high):
+        point = (raw & 0xC0) != 0x80
+        tail = np.concatenate((raw, np.zeros(3, raw.dtype)))
+        first, second, third = (tail[high + k] for k in range(3))
+        euro = (first == 0xE2) & (second == 0x82) & (third == 0xAC)
+        # combining marks, Latin-1 signs and general punctuation: restore() drops them as it drops ASCII signs
+        two = (first == 0xCC) | (first == 0xCD) & (second < 0xB0) | (first == 0xC2) & ~np.isin(second, (0xAA, 0xB5, 0xBA))
+        three = (first == 0xE2) & ((second == 0x80) | (second == 0x81) & (third < 0xB0))
+        leet[high[euro]] = True
+        for k in range(3):
+            letter[np.minimum(high[two & (k < 2) | three | euro] + k, n - 1)] = False
+        for k in (1, 2):
+            leet[np.minimum(high[euro] + k, n - 1)] = True
+        width = 2 + (first >= 0xE0) + (first >= 0xF0).astype(np.int64)
+        again = high >= width
+        for k in range(4):
+            again &= (k >= width) | (tail[np.minimum(high + k, n)] == tail[high + k - width])
+        same[high[again]] = True
+    return letter, leet, same & (letter | leet) & ~starts, point
+
+
+def _odd_tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """suspects() as (row, index of the token) by occurrence, and the distinct tokens."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), []
     n = len(raw)
     if not n:
-        return
-    solid, letter = ~SPACE[raw], CLASS[raw] > 0
+        return none
+    solid = ~SPACE[raw]
     starts = np.zeros(n + 1, bool)
     starts[off[:-1]] = True
     starts = starts[:n]
@@ -135,38 +171,63 @@ def suspects(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, str]]:
     before[1:] = solid[:-1]
     s = np.flatnonzero(solid & (starts | ~before))
     if not len(s):
-        return
-    same = np.zeros(n, bool)
-    same[1:] = raw[1:] == raw[:-1]
-    third = np.zeros(n, bool)
-    third[2:] = same[2:] & same[1:-1]
-    many = third.copy()
-    many[:-1] |= third[1:]
-    many[:-2] |= third[2:]
-    left, right = np.zeros(n, bool), np.zeros(n, bool)
-    left[1:] = letter[:-1]
-    right[:-1] = letter[1:]
-    odd = (_LEET_BYTE[raw] & right | _END_LEET[raw] & left | _GAP_BYTE[raw] & left & right) & ~many | third & letter & (raw < 128)
-    token = np.unique(np.searchsorted(s, np.flatnonzero(odd), "right") - 1)
-    gap = np.flatnonzero(~solid)
+        return none
     cut = np.minimum(np.append(s[1:], n), n)
+    gap = np.flatnonzero(~solid)
     if len(gap):
         nxt = np.searchsorted(gap, s)
         cut = np.minimum(cut, np.where(nxt < len(gap), gap[np.minimum(nxt, len(gap) - 1)], n))
     row = np.searchsorted(off, s, "right") - 1
-    for t in token.tolist():
-        yield int(row[t]), raw[s[t] : cut[t]].tobytes().decode("utf-8", "ignore")
-    single = (cut - s == 1) & (letter[s] | _LEET_BYTE[raw[s]])
-    joined = np.zeros(len(s), bool)
-    joined[1:] = single[1:] & single[:-1] & (s[1:] - cut[:-1] <= 2) & (row[1:] == row[:-1])
-    if joined.any():
-        head = np.flatnonzero(single & ~joined & np.append(joined[1:], False))
-        for t in head.tolist():
-            end = t + 1
-            while end < len(s) and joined[end]:
-                end += 1
-            if end - t >= 3:
-                yield int(row[t]), raw[s[t] : cut[end - 1]].tobytes().decode("utf-8", "ignore")
+
+    letter, leet, again, point = _shapes(raw, starts)
+    like = letter | leet
+    left, right = np.zeros(n, bool), np.zeros(n, bool)
+    left[1:] = like[:-1]
+    right[:-1] = like[1:]
+    tail = leet & ~_END_MARK[raw] & left
+    odd = np.searchsorted(s, np.flatnonzero(leet & right | tail | again), "right") - 1
+    ends, heads = np.flatnonzero(like & ~right), np.flatnonzero(like & ~left)
+    inner = np.searchsorted(s, heads[1:], "right") - 1
+    inner = inner[inner == np.searchsorted(s, ends[:-1], "right") - 1] if len(heads) == len(ends) else inner
+    token = np.unique(np.concatenate((odd, inner)))
+    count = lambda x: np.concatenate(([0], np.cumsum(x)))
+    sure = count(letter | (raw == 64) | (raw == 36))
+    token = token[sure[cut[token]] > sure[s[token]]]
+
+    whole = word_hashes(raw, off)[0]
+    _, first, which = np.unique(whole[token], return_index=True, return_inverse=True)
+    text = lambda a, b: raw[s[a] : cut[b]].tobytes().decode("utf-8", "ignore")
+    texts = [text(t, t) for t in token[first].tolist()]
+    rows, at = [row[token]], [which.reshape(-1)]
+
+    points, likes = count(point), count(like & point)
+    n_points, n_likes = points[cut] - points[s], likes[cut] - likes[s]
+    near = np.append(False, (s[1:] - cut[:-1] <= 2) & (row[1:] == row[:-1]))
+    beside = np.append(False, row[1:] == row[:-1])
+    found: dict[tuple[int, int], None] = {}
+    for light, close in (((n_points == 1) & (n_likes == 1), near), (n_likes <= 1, beside)):
+        joined = light & np.append(False, light[:-1]) & close
+        head = np.flatnonzero(light & ~joined)
+        last = np.flatnonzero(light & ~np.append(joined[1:], False))
+        held = count(n_likes)
+        some = held[last + 1] - held[head] >= 3
+        found.update(dict.fromkeys(zip(head[some].tolist(), last[some].tolist(), strict=True)))
+    if found:
+        rows.append(row[[a for a, _ in found]])
+        at.append(np.arange(len(texts), len(texts) + len(found)))
+        texts += [text(a, b) for a, b in found]
+    return np.concatenate(rows), np.concatenate(at), texts
+
+
+def suspects(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, str]]:
+    """(row, token) of lower-case texts: tokens with a swap, separators between letters or look-alikes, or a letter or
+    look-alike twice running; and runs of single ones, three or more, whose spaces and separators are then the gaps:
+    the narrow runs of bare letters at most two spaces apart, and the wide ones of all that stand together.
+
+    A separator is what restore() drops. Tokens without a letter, @ or $ are numbers and signs."""
+    rows, at, texts = _odd_tokens(raw, off)
+    for r, t in zip(rows.tolist(), at.tolist(), strict=True):
+        yield r, texts[t]
 
 
 def _restored(token: str, model: Model) -> tuple[str, ...]:
@@ -175,7 +236,7 @@ def _restored(token: str, model: Model) -> tuple[str, ...]:
     if got is None:
         if len(model.cache) > 50_000:
             model.cache.clear()
-        got = restore(token, model.logp)
+        got = tuple(x for x in restore(token, model.logp) if x != token)  # an ordinary word is counted as it stands
         if len(token) < 64:
             model.cache[token] = got
     return got
@@ -187,13 +248,18 @@ def _features(texts: pa.Array, model: Model, kinds: Iterable[int]) -> tuple[dict
     kinds = tuple(kinds)
     whole, rows, parts = word_hashes(raw, off, BREAK, tuple(k for k in kinds if k))
     owner = np.repeat(np.arange(len(texts)), np.diff(rows))
-    odd = [(i, w) for i, t in suspects(raw, off) for w in _restored(t, model)]
-    if odd:
-        raw, off = text_buffer(pa.array([w for _, w in odd]))
+    odd_row, odd_token, tokens = _odd_tokens(raw, off)
+    readings = [_restored(t, model) for t in tokens]
+    words = [w for r in readings for w in r]
+    if words:
+        raw, off = text_buffer(pa.array(words, pa.large_string()))
         more, more_rows, more_parts = word_hashes(raw, off, BREAK, tuple(k for k in kinds if k))
-        owner = np.concatenate((owner, np.repeat([i for i, _ in odd], np.diff(more_rows))))
-        whole = np.concatenate((whole, more))
-        parts = {k: np.concatenate((parts[k], more_parts[k])) for k in parts}
+        place = more_rows[np.concatenate(([0], np.cumsum([len(r) for r in readings])))]  # distinct tokens to their words
+        size = np.diff(place)[odd_token]
+        use = np.repeat(place[odd_token] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        owner = np.concatenate((owner, np.repeat(odd_row, size)))
+        whole = np.concatenate((whole, more[use]))
+        parts = {k: np.concatenate((parts[k], more_parts[k][use])) for k in parts}
     return {k: parts[k] if k else whole for k in kinds}, owner
 
 

@@ -39,6 +39,25 @@ def test_disguised_words_are_restored(model, text):
     assert T.scores(pa.array([text]), model)[0] >= 0.7, list(T.suspects(*T.text_buffer(pa.array([text.lower()]))))
 
 
+COMBINED = {
+    "leet repeated": "m000r0n", "leet repeated at the end": "idi0000t", "letter twice": "idiiot", "doubled everywhere": "iiddiioott", "gap run": "i--d--i--o--t", "dots": "i...d...i...o...t",
+    "leet and gap": "1.d.1.0.t", "leet and gap run": "1--d--1--0--t", "leet, gap and repeat": "11-dd-11-00-tt", "other sign": "i#d#i#o#t", "middle dot": "i·d·i·o·t", "mixed gaps": "i-.d_*i~'o-t",
+    "wide spaces": "i   d   i   o   t", "spaces and dots": "i. d. i. o. t.", "spaced signs": "i - d - i - o - t", "spaced leet": "1 d 1 0 t", "euro": "w0rthl€ss", "repeat and leet": "mooor000n",
+}
+
+
+@pytest.mark.parametrize("text", COMBINED.values(), ids=COMBINED)
+def test_combined_disguises_are_restored(model, text):
+    assert T.scores(pa.array([f"the river {text} near"]), model)[0] >= 0.7, list(T.suspects(*T.text_buffer(pa.array([text]))))
+
+
+def test_spaced_letters_are_code_points():
+    texts = ["d é b i l e", "der debilé é é d", "ab", "bc"]
+    got = list(T.suspects(*T.text_buffer(pa.array(texts))))
+    assert (0, "d é b i l e") in got and (1, "é é d") in got and not [r for r, _ in got if r > 1]
+    assert T.restore("a" * 3 + "b-c" * 50_000, np.zeros((T.SIZE**2, T.SIZE), np.float32))
+
+
 @pytest.mark.parametrize("text", ["the quiet river", "", None, "*** ### $$$ %%%", "walked in 1999 near 10 Downing", "a.b@mail8.example.com 4317133518190532", "x" * 200_000, "the " * 100_000])
 def test_clean_texts_stay_clean(model, text):
     assert T.scores(pa.array([text], pa.string()), model)[0] < 0.3
