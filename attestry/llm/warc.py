@@ -61,19 +61,19 @@ def captures(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_
     """(id, url, payload, occurrence, refers_to, revisits): what is to be written; refers_to is the id of the response."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(html_col, F.lit("")), "UTF-8").alias("payload"))
     keyed = rows.select("id", F.sha1("payload").alias("digest"), F.length("payload").alias("bytes"))
-    shared = keyed.filter(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("id").alias("target"), F.count("*").alias("n")).filter("n > 1").select("digest", "target")
+    shared = keyed.groupBy("digest").agg(F.max("id").alias("target"), F.count("*").alias("n"), (F.max("bytes") >= min_bytes).alias("shares")).filter("n > 1").select("digest", "target", "shares")
     shared = written(shared, "shared-payloads").withColumnRenamed("digest", "d")
     each = Window.partitionBy("digest", "id").orderBy("url")
     rows = rows.withColumn("digest", F.sha1("payload"))
     marked = rows.join(shared, F.col("digest") == F.col("d"), "left").drop("d")
-    # only rows of shared payloads can be repeated rows; the rest skips the numbering
-    single = marked.filter("target is null").withColumn("occurrence", F.lit(1))
+    # only rows of payloads that occur twice, of any size and with any id, can be repeated rows; the rest skips the numbering
+    single = marked.filter("shares is null").withColumn("occurrence", F.lit(1))
     several = written(keyed.join(shared, F.col("digest") == F.col("d")).groupBy("digest", "id").count().filter("count > 1").select(F.col("digest").alias("d"), F.col("id").alias("i")), "repeated")
     if several.isEmpty():
         numbered = marked.withColumn("occurrence", F.lit(1))
     else:
-        numbered = single.unionByName(marked.filter("target is not null").withColumn("occurrence", F.row_number().over(each)))
-    revisit = F.col("target").isNotNull() & ~(F.col("id").eqNullSafe(F.col("target")) & (F.col("occurrence") == 1))
+        numbered = single.unionByName(marked.filter("shares is not null").withColumn("occurrence", F.row_number().over(each)))
+    revisit = F.coalesce("shares", F.lit(False)) & ~(F.col("id").eqNullSafe(F.col("target")) & (F.col("occurrence") == 1))
     return numbered.select("id", "url", "payload", "occurrence", F.when(revisit, F.col("target")).alias("refers_to"), revisit.alias("revisits"))
 
 

@@ -64,6 +64,15 @@ def test_round_trip(spark, least):
             assert [(r.record_type, r.refers_to) for r in mine] == [("revisit", max(same)) if revisits else ("response", None)]
 
 
+@pytest.mark.parametrize("least", [0, 1000])
+def test_null_ids_and_small_repeats_are_captures_of_their_own(spark, least):
+    rows = [(None, "a", "n"), (None, "b", "n"), (None, "c", "n"), (8, "u", "twice"), (8, "v", "twice"), (9, "w", "once")]
+    got = W.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), least).collect()
+    assert sorted((r.page_id or 0, r.url) for r in got) == sorted((i or 0, u) for i, u, _ in rows)
+    assert sum(r.record_type == "revisit" for r in got) == (0 if least else 3)
+    assert {r.refers_to for r in got if r.page_id is None} == {None}
+
+
 def test_assembly_nests_each_capture(spark, tmp_path):
     df = spark.createDataFrame(PAGES[:3], "page_id long, url string, html string, kind int")
     W.write(W.captures(df), f"file://{tmp_path}/a")
