@@ -4,8 +4,9 @@ An item is a few dozen 5-word shingles, a document may be 20,000 words, so their
 Items are therefore partitioned by size; for each size class a document is read through windows of twice the class
 width, one width apart, so that every possible occurrence lies whole in one window of comparable size. Sets are
 sketched by one-permutation MinHash (BINS bins, the least shingle hash of a bin is its value); item and window are a
-candidate pair when one bin agrees. At a containment of 0.8 a window misses all bins with probability below 1e-6, and
-every candidate is verified: |item and document| / |item| over the whole document, exactly.
+candidate pair when one bin agrees. Items of fewer than SMALL shingles are not sketched: each document that holds one of
+their shingles is a candidate, since a set of one shingle loses its bin to a neighbour in about 1 of 512 windows. Every
+candidate is verified: |item and document| / |item| over the whole document, exactly.
 
 Words are runs of letters and digits after Unicode lower-casing, so case and punctuation do not hide a leak. An item
 of fewer than five words is one shingle of its own length.
@@ -14,7 +15,7 @@ The items are the query set: they travel to the tasks in blocks of at most BLOCK
 documents a block, so nothing unbounded is broadcast. Documents are never shuffled.
 
 Defined results: null or empty texts and items without words match nothing; repeated rows each match; an empty table on
-either side gives no rows."""
+either side gives no rows. Items without id have no rows in leaks(), but decontaminate() heeds them."""
 
 from __future__ import annotations
 
@@ -30,6 +31,7 @@ from .common import bounded_batches, text_buffer
 from .hashing import distinct_by_row, shingles, word_hashes
 
 BINS = 256
+SMALL = 16
 BLOCK_SHINGLES = 2_000_000
 BREAK = np.ones(256, bool)
 BREAK[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
@@ -51,7 +53,7 @@ class Items:
             for i in mine:
                 own = s[p[i] : p[i + 1]]
                 self.sets[i] = own
-                sig = signature(own)
+                sig = signature(own) if len(own) >= SMALL else own
                 values.append(sig)
                 owners.append(np.full(len(sig), i))
                 classes.append(np.full(len(sig), max(1, int(len(own)).bit_length())))
@@ -84,7 +86,7 @@ def matches(items: Items, raw: np.ndarray, off: np.ndarray, threshold: float) ->
         whole: tuple[int, np.ndarray] = (-1, s[:0])
         for at, row, a, b in zip(near.tolist(), where.tolist(), lo.tolist(), hi.tolist(), strict=True):
             for item, size_class in zip(owners[a:b].tolist(), classes[a:b].tolist(), strict=True):
-                if (row, item) in tried or not _agrees(s, int(p[row]), int(p[row + 1]), at, 1 << size_class):
+                if (row, item) in tried or len(items.sets[item]) >= SMALL and not _agrees(s, int(p[row]), int(p[row + 1]), at, 1 << size_class):
                     continue
                 tried.add((row, item))
                 if whole[0] != row:
@@ -106,15 +108,15 @@ def _agrees(s: np.ndarray, start: int, stop: int, at: int, width: int) -> bool:
     return False
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> Iterator[Items]:
-    """The benchmark in blocks of bounded size, each fetched on its own."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, unnamed: bool = False) -> Iterator[Items]:
+    """The benchmark in blocks of bounded size, each fetched on its own; unnamed: also items without id, as item -1."""
     total = benchmark.select(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     n = 1 + int(total) // (4 * BLOCK_SHINGLES)
     for i in range(n):
         part = benchmark.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == i) if n > 1 else benchmark
         got = part.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).toArrow()
         ids, texts = got["i"].to_pylist(), got["t"].to_pylist()
-        keep = [(a, b) for a, b in zip(ids, texts, strict=True) if a is not None]
+        keep = [(-1 if a is None else a, b) for a, b in zip(ids, texts, strict=True) if unnamed or a is not None]
         if keep:
             yield Items([a for a, _ in keep], [b for _, b in keep], width)
 
@@ -147,7 +149,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     spark = docs.sparkSession
     bounded_batches(spark)
     out = docs
-    for items in blocks(benchmark, "item_id", "text", width):
+    for items in blocks(benchmark, "item_id", "text", width, unnamed=True):
         held = spark.sparkContext.broadcast(items)
 
         def run(batches, held=held):

@@ -55,3 +55,16 @@ def test_blocks_give_the_same(spark, monkeypatch):
     docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string")
     monkeypatch.setattr(D, "BLOCK_SHINGLES", 40)
     assert sorted((r.doc_id, r.item_id) for r in D.leaks(docs, items).collect()) == [(i, i) for i in range(20)]
+
+
+def test_every_occurrence_of_a_short_item_is_found(spark):
+    items = D.Items([1], ["alpha beta"], 5)
+    texts = [f"n{i} alpha beta m{i}" for i in range(8000)]
+    raw, off = D.text_buffer(D.pa.array(texts))
+    assert len({r for r, *_ in D.matches(items, raw, off, 0.8)}) == len(texts)
+
+
+def test_items_without_id_are_heeded(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "clean text")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two three four five six")], "item_id long, text string")
+    assert [r.doc_id for r in D.decontaminate(docs, items).collect()] == [2] and D.leaks(docs, items).count() == 0
