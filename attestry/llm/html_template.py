@@ -29,7 +29,7 @@ from .common import bounded_batches, written
 
 # fixed values: element names of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg iframe object select title math canvas audio video".split())
+RAW = frozenset("script style noscript template textarea svg iframe select title canvas audio video".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"body", "html"}
 SKIP_TAG = frozenset("nav aside footer form head button menu dialog".split()) | RAW
@@ -40,6 +40,9 @@ SKIP_NAME = re.compile(
     r"bread-?crumbs?|pagination|pager|widget|toolbar|search|form|skip-link)(?:$|[\s_-])",
     re.I,
 )
+#: First pieces of class names that tell of a state or a subject, not of what the element is.
+STATE = re.compile(r"(?:has|have|no|not|with|without|is|in|category|cat|tag|term|topic|type|format|post|page|section)[-_]", re.I)
+_ARTICLE = re.compile(r"<article[\s/>]", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(>|$)", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACES = re.compile(r"\s+")
@@ -47,10 +50,15 @@ LEAST_TEXT = 20
 
 
 class Node:
-    __slots__ = ("tag", "path", "skip", "link")
+    __slots__ = ("tag", "path", "skip", "link", "named")
 
-    def __init__(self, tag: str, path: str, skip: bool, link: bool):
-        self.tag, self.path, self.skip, self.link = tag, path, skip, link
+    def __init__(self, tag: str, path: str, skip: bool, link: bool, named: bool = False):
+        self.tag, self.path, self.skip, self.link, self.named = tag, path, skip, link, named
+
+
+def noise(name: str) -> bool:
+    """Whether one of the class and id names says that the element is no content."""
+    return any(SKIP_NAME.search(x) and not STATE.match(x) for x in name.split())
 
 
 def events(html: str) -> Iterator[tuple[str, Node | None, str]]:
@@ -83,9 +91,11 @@ def events(html: str) -> Iterator[tuple[str, Node | None, str]]:
         attrs = {a.lower(): x or y or z or "" for a, x, y, z in _ATTR.findall(m[3])} if m[3] else {}
         name = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
         top = stack[-1]
-        skip = tag not in ("html", "body", "main") and (tag in SKIP_TAG or attrs.get("role", "").lower() in SKIP_ROLE or bool(name and SKIP_NAME.search(name)))
+        content = tag in ("html", "body", "main")
+        skip = not content and (tag in SKIP_TAG or attrs.get("role", "").lower() in SKIP_ROLE)
+        named = not content and not skip and bool(name) and noise(name)
         label = tag + ("." + re.sub(r"\d+", "", name) if name else "")
-        node = Node(tag, f"{top.path}/{label}", skip, top.link or tag == "a")
+        node = Node(tag, f"{top.path}/{label}", skip or named, top.link or tag == "a", named)
         yield "open", node, ""
         if tag in VOID or m[3].endswith("/"):
             yield "close", node, ""
@@ -101,11 +111,47 @@ def events(html: str) -> Iterator[tuple[str, Node | None, str]]:
         yield "close", stack.pop(), ""
 
 
+def settled(html: str) -> list[tuple[str, Node | None, str]]:
+    """The events, with no element skipped by its name alone that holds the page's main or only article, and none at
+    all if a page without these were left with little unlinked text."""
+    found = list(events(html))
+    only = len(_ARTICLE.findall(html)) == 1
+    marked = False
+    stack: list[Node] = []
+    for what, node, _ in found:
+        if what == "open":
+            stack.append(node)
+            marked |= node.tag in ("main", "article")
+            if node.tag == "main" or only and node.tag == "article":
+                for x in stack:
+                    x.skip &= not x.named
+        elif what == "close":
+            stack.pop()
+    if not marked and _told(found, None) < LEAST_TEXT:
+        for _, node, _ in found:
+            node.skip &= not node.named
+    return found
+
+
+def _told(found: list, path: str | None) -> int:
+    """Length of the unlinked, not skipped text of a page, or of its elements of one role."""
+    size = skipping = inside = 0
+    for what, node, text in found:
+        if what == "text":
+            if not skipping and not node.link and (path is None or inside):
+                size += len(text.strip())
+        else:
+            step = 1 if what == "open" else -1
+            skipping += step * node.skip
+            inside += step * (node.path == path)
+    return size
+
+
 def roles(html: str) -> dict[str, list[int]]:
     """Count, unlinked text length (own and inline) and whether it is named as no content, by role."""
     found: dict[str, list[int]] = {}
     skipping = 0
-    for what, node, text in events(html):
+    for what, node, text in settled(html):
         if what == "open":
             skipping += node.skip
             if node.tag in BLOCK:
@@ -125,16 +171,20 @@ def roles(html: str) -> dict[str, list[int]]:
 
 def extract(html: str, mains: Iterable[str | None]) -> str:
     """The blocks of the main slot: the first of these roles that the page has with text, else its article, main or body."""
+    page = settled(html)
     for main in [m for m in mains if m]:
-        if text := _within(html, lambda node, main=main: node.path == main):
+        slot = re.split(r"[./]", main.rpartition("/")[2])[0]
+        if slot not in ("article", "main") and 2 * _told(page, main) < _told(page, None):
+            continue  # another layout: most of the page's text is elsewhere
+        if text := _within(page, lambda node, main=main: node.path == main):
             return text
     for tags in (("article",), ("main",), ("body",)):
-        if text := _within(html, lambda node, tags=tags: node.tag in tags and not node.skip):
+        if text := _within(page, lambda node, tags=tags: node.tag in tags and not node.skip):
             return text
-    return _within(html, None)
+    return _within(page, None)
 
 
-def _within(html: str, wanted) -> str:
+def _within(page: list, wanted) -> str:
     blocks: list[str] = []
     parts: list[str] = []
     inside, skipping = (0 if wanted else 1), 0
@@ -146,7 +196,7 @@ def _within(html: str, wanted) -> str:
         if text:
             blocks.append(text)
 
-    for what, node, text in events(html):
+    for what, node, text in page:
         if what == "text":
             if inside and not skipping:
                 parts.append(text)

@@ -30,6 +30,16 @@ def test_article_without_its_surroundings(spark):
     assert H.main_text(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "category-search", "tag-related", "has-share-buttons", "widget"])
+def test_wrappers_with_such_names_keep_their_text(name):
+    story = "<h1>Title</h1><p>A story told at some length.</p>"
+    want = "Title\n\nA story told at some length."
+    for page in (f"<div id=page class='{name}'><article>{story}</article></div>", f"<article class='post {name}'>{story}</article>", f"<div class='{name}'>{story}</div>"):
+        page = f"<html><body><nav>Home</nav>{page}<footer>end</footer></body></html>"
+        assert H.extract(page, ()) == want and sum(x[1] for x in H.roles(page).values() if not x[2]) == 33
+    assert H.extract("<article>a <math><mi>x</mi></math> b</article>", ()) == "a x b"
+
+
 def test_very_long_page():
     page = "<html><body><article>" + "".join(f"<p>line {i}</p>" for i in range(20_000)) + "</article></body></html>"
     assert H.extract(page, ()).count("\n\n") == 19_999
