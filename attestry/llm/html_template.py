@@ -7,7 +7,7 @@
    of the host's pages, two at least) are valid if their roles nest: each is inside a role of the same class or of a
    class already placed. Nested from the root they are the host's template; what lies between its elements are slots.
 3. Slots are told apart by their element: menus, headers, footers, sidebars, notices, adverts, forms and comments are
-   named as such; of the others, the deepest template element that holds most unlinked text is the main slot.
+   named as such; the lowest template element that holds all others with text of their own is the main slot.
 4. A page's text is what its main slot holds, without the slots named otherwise. Hosts of one page, and pages without
    their host's main slot, use the template of all hosts together, then the page's own article, main or body.
 
@@ -17,6 +17,7 @@ the middle of a tag is dropped with the tag; repeated rows each give a row; othe
 from __future__ import annotations
 
 import html as entities
+import os.path
 import re
 from collections.abc import Iterable, Iterator
 
@@ -47,6 +48,8 @@ _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACES = re.compile(r"\s+")
 LEAST_TEXT = 20
+HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?$")
+INNER = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tr td th".split())
 
 
 class Node:
@@ -219,7 +222,10 @@ def _within(page: list, wanted) -> str:
 
 
 def deduce(found: pd.DataFrame) -> str | None:
-    """The main slot of one host from its folded roles: columns role, pages, total, mark, size, skip, host_pages."""
+    """The main slot of one host from its folded roles: columns role, pages, total, mark, size, told, skip, host_pages.
+
+    Without article and main it is the lowest template element that holds every role with text of its own, headings
+    whatever their length, in half of the pages."""
     n = int(found["host_pages"].iloc[0])
     if n < 2:
         return None
@@ -244,9 +250,13 @@ def deduce(found: pd.DataFrame) -> str | None:
     named = [p for p in sizes if p in once and re.split(r"[./]", p.rpartition("/")[2])[0] in ("article", "main") and sizes[p] >= LEAST_TEXT * n]
     if named:
         return max(named, key=lambda p: (sizes[p], p.count("/"), p))
-    whole = max((s for p, s in sizes.items() if p in once), default=0)
-    best = [p for p, s in sizes.items() if p in once and whole and s >= 0.9 * whole and s >= LEAST_TEXT * n]
-    return max(best, key=lambda p: (p.count("/"), sizes[p], p)) if best else None
+    paths = [r.role.split("/") for r in frequent.itertuples() if r.role in sizes and r.told >= max(2, n / 2) and (r.size >= LEAST_TEXT * r.told or HEADING.search(r.role))]
+    if not paths:
+        return None
+    slot = "/".join(os.path.commonprefix(paths))
+    while slot and (slot not in sizes or slot not in once or re.split(r"[./]", slot.rpartition("/")[2])[0] in INNER):
+        slot = slot.rpartition("/")[0]
+    return slot if slot and sizes[slot] >= LEAST_TEXT * n else None
 
 
 def _host():
@@ -271,9 +281,9 @@ def templates(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     rows = pages.select(_host().alias("host"), F.xxhash64("page_id", "url").alias("page"), F.col(html_col).alias("html"))
     rows = rows.mapInArrow(run, "host string, page long, role string, n long, size long, skip int")
-    fold = [F.count("*").alias("pages"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("page", "n")).alias("mark"), F.sum("size").alias("size"), F.min("skip").alias("skip")]
+    fold = [F.count("*").alias("pages"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("page", "n")).alias("mark"), F.sum("size").alias("size"), F.count_if(F.col("size") > 0).alias("told"), F.min("skip").alias("skip")]
     by_host = written(rows.groupBy("host", "role").agg(*fold), "roles")
-    everywhere = by_host.groupBy("role").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.bit_xor("mark").alias("mark"), F.sum("size").alias("size"), F.min("skip").alias("skip"))
+    everywhere = by_host.groupBy("role").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.bit_xor("mark").alias("mark"), F.sum("size").alias("size"), F.sum("told").alias("told"), F.min("skip").alias("skip"))
     both = by_host.unionByName(everywhere.withColumn("host", F.lit("*")))
     counts = both.filter("role = ''").select("host", F.col("pages").alias("host_pages"))
     # a role in one page of many can't be in a template: dropping it first bounds a host's group by its page structure

@@ -40,6 +40,15 @@ def test_wrappers_with_such_names_keep_their_text(name):
     assert H.extract("<article>a <math><mi>x</mi></math> b</article>", ()) == "a x b"
 
 
+def test_headline_and_lead_beside_the_content(spark):
+    page = "<html><body><div class=wrap><h1>Head {n}</h1><p class=lead>A lead of more than twenty letters {n}.</p><div class=content><p>" + "Long text {n}. " * 60 + "</p></div></div><div class=footer>end</div></body></html>"
+    other = "<html><body><div class=wrap><h1>Head {n}</h1><p class=lead>A lead of more than twenty letters {n}.</p></div><div class=story><p>" + "Other text {n}. " * 60 + "</p></div></body></html>"
+    rows = [(i, f"http://a.example/{i}", (other if i == 5 else page).format(n=i)) for i in range(6)]
+    got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, text in got.items():
+        assert text.startswith(f"Head {i}\n\nA lead of more than twenty letters {i}.\n\n") and text.count("text") == 60 and "end" not in text
+
+
 def test_very_long_page():
     page = "<html><body><article>" + "".join(f"<p>line {i}</p>" for i in range(20_000)) + "</article></body></html>"
     assert H.extract(page, ()).count("\n\n") == 19_999
