@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +51,63 @@ def test_headline_and_lead_beside_the_content(spark):
         assert text.startswith(f"Head {i}\n\nA lead of more than twenty letters {i}.\n\n") and text.count("text") == 60 and "end" not in text
 
 
+def test_tags_are_read_as_html_does():
+    assert H.extract("<p data-t=it's>Hello world one</p><p>two</p><p>it's three</p>", ()) == "Hello world one\n\ntwo\n\nit's three"
+    assert H.extract("<p class=a\"b title='x > y' data-z=\"<p>\">one<a href=/x/>two</a></p><!-- <p>no --><p>three</ >four<p", ()) == "onetwo\n\nthreefour"
+    assert H.extract("<body><header><h1>Site</h1></header><p>A</p></body>", ()) == "A"
+    assert H.extract("<article><header><h1>Head</h1></header><p>A</p></article>", ()) == "Head\n\nA"
+    assert H.extract("<ul><li>a<li><b>b<li>c<ul><li>d</ul><li>e</ul>", ()).split() == list("abcde")
+
+
+def test_names_alone_take_nothing_from_an_article():
+    page = "<article><p class='notice'>a</p><div class='related work'>b</div><p class='form'>c</p><section id='search'>d</section><math>e</math></article>"
+    assert H.extract(page, ()) == "a\n\nb\n\nc\n\nd\n\ne"
+
+
+def test_menu_without_a_name_is_template(spark):
+    page = "<html><body><div class=top><a href=/>Home</a> and our address in Long Street 12</div><div class=col><h2>Head {n}</h2><p>Short story {n}.</p></div><div class=low>All rights</div></body></html>"
+    rows = [(i, f"http://a.example/{i}", page.format(n=i)) for i in range(6)] + [(3, "http://a.example/3", page.format(n=3))] * 2
+    got = H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 8 and all(r.text == f"Head {r.page_id}\n\nShort story {r.page_id}." for r in got)
+
+
+def test_equal_pages_are_no_template(spark):
+    page = "<html><body><div class=top>Menu</div><div class=col><p>Story told once.</p></div></body></html>"
+    rows = [(i, f"http://a.example/{i}", page) for i in range(6)] + [(10 + i, f"http://b.example/{i}", page.replace("once", f"{i % 2}")) for i in range(6)]
+    got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "Menu\n\nStory told once." for i in range(6))
+    assert all(got[10 + i] == f"Menu\n\nStory told {i % 2}." for i in range(6))  # two different pages: no wording is template
+
+
+def test_nested_elements_take_linear_time():
+    began = time.time()
+    assert len(H.roles("<div>" * 100_000 + "x")) == 100_001 and H.extract("<div>" * 100_000 + "x", ()) == "x"
+    assert H.extract("<p><b>x" * 50_000, ()).count("x") == 50_000
+    assert time.time() - began < 30
+
+
+def test_classes_equal_brute_force(spark):
+    """Folded vectors give the classes that whole occurrence vectors of every page give."""
+    draw = random.Random(3)
+    names = ["a", "b", "c", "d", "e"]
+    pages = []
+    for i in range(40):
+        parts = [f"<div class={x}>" * (1 + (x == "e")) + (f"word {i}" if x in "ab" else f"fixed {x}") + "</div>" * (1 + (x == "e")) for x in names if x in "ace" or draw.random() < 0.5]
+        pages.append((i % 17, f"http://h{i % 3}.example/{i}", "<html><body>" + "".join(parts) + "</body></html>"))
+    pages += pages[:7] + pages[:7]
+    got: dict[tuple, set] = {}
+    for r in H.tokens(spark.createDataFrame(pages, "page_id long, url string, html string")).filter("kind = 0").collect():
+        got.setdefault((r.host, r.rows, r.v1, r.v2), set()).add(r.token)
+    want: dict[tuple, set] = {}
+    for host in {u.split("/")[2] for _, u, _ in pages}:
+        own = [H.roles(h) for _, u, h in pages if u.split("/")[2] == host]
+        for token in set().union(*own):
+            want.setdefault((host, *[r[token].n if token in r else 0 for r in own]), set()).add(token)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    texts = H.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert all("fixed c" not in r.text and "fixed e" not in r.text and "word" in r.text for r in texts)
+
+
 def test_very_long_page():
     page = "<html><body><article>" + "".join(f"<p>line {i}</p>" for i in range(20_000)) + "</article></body></html>"
     assert H.extract(page, ()).count("\n\n") == 19_999
