@@ -57,3 +57,55 @@ def test_windows_bound_memory_and_lose_nothing(spark, monkeypatch):
     rows = [(7, "same words again", "x")] * 100
     got = P.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, s string"), PATH, 64).toPandas()
     assert len(got) == 100 and (got.groupby("sequence_id").length.sum() <= 64).all()
+
+
+def naive(costs, capacity, rule, w):
+    """Vector best-fit by the book: every open bin is tried for every piece."""
+    bins, where = [], {}
+    for i in sorted(range(len(costs)), key=lambda i: (-max(c / k * x for c, k, x in zip(costs[i], capacity, w)), i)):
+        c = costs[i]
+        best = None
+        for b, room in enumerate(bins):
+            if any(r < x for r, x in zip(room, c)):
+                continue
+            if rule == "norm":
+                value = sum(x * ((r - y) / k) ** 2 for x, r, y, k in zip(w, room, c, capacity))
+            else:
+                value = -sum(x * r / k * y / k for x, r, y, k in zip(w, room, c, capacity))
+            if best is None or value < best[0] - 1e-12:
+                best = value, b
+        if best is None:
+            bins.append(list(capacity))
+            best = 0, len(bins) - 1
+        bins[best[1]] = [r - x for r, x in zip(bins[best[1]], c)]
+        where[i] = best[1]
+    return [where[i] for i in range(len(costs))], bins
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("limits", [(1000.0, 300.0, 1e6), (1000.0, 3.0, 1e6), (1000.0, 300.0, 180_000.0), (1000.0, 4.0, 400_000.0)])
+def test_best_fit_equals_brute_force_whatever_binds(rule, limits):
+    length = np.random.default_rng(8).uniform(1, 400, 300)
+    costs = np.stack((length, np.ones(300), length**2), 1)
+    w = (1.0, 0.05, 0.05)
+    want, rooms = naive(costs.tolist(), limits, rule, w)
+    assert P.best_fit(costs, np.array(limits), rule, np.array(w)).tolist() == want
+    binding = {(1000.0, 300.0, 1e6): 0, (1000.0, 3.0, 1e6): 1, (1000.0, 300.0, 180_000.0): 2}.get(limits)
+    if binding is not None:  # that resource is the tightest in most bins
+        assert sum(min(range(3), key=lambda k: r[k] / limits[k]) == binding for r in rooms) > len(rooms) / 2
+
+
+def test_defaults_bind_and_stay_near_the_least(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, 0, 0, int(n), i) for i, n in enumerate(np.concatenate((rng.integers(1, 2049, 3000), rng.integers(1, 4, 3000))))]
+    got = P.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")).toPandas()
+    by = got.groupby("sequence_id").length
+    assert len(got) == 6000 and by.sum().max() <= 2048 and by.count().max() <= 64
+    shared = by.count() > 1
+    assert (got.assign(a=got.length**2).groupby("sequence_id").a.sum()[shared] <= P.ATTENTION * 2048**2).all()
+    assert by.ngroups <= 1.02 * -(-got.length.sum() // 2048)
+
+
+def test_files_that_say_more_than_ranks_go_through_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert P.byte_bpe(path)("Two Words").tolist() == Tokenizer.from_file(path).encode("Two Words", add_special_tokens=False).ids
