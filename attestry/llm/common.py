@@ -37,6 +37,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A prefix that no column of the table begins with, in either case."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(base.lower()) for c in taken):
+        base += "_"
+    return base
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes and rows unless the session already does."""
     for key, value in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):

@@ -1,12 +1,15 @@
 """Exact dedup over a cuckoo-filter index of live digests.
 
 The index holds one entry per live digest: the digest of the normalised text (the bucketed content, by which a filter
-hit is verified), the row that stays, and counts. Inside a task a cuckoo filter of 16-bit fingerprints answers "surely
-new" or "perhaps known"; a hit is verified against the entries stored under the digest's bucket; when the filter
-overflows it is rebuilt at twice the size from the stored keys. Entries can be deleted again.
+hit is verified), the row that stays, and counts. It is a cuckoo filter of 16-bit fingerprints whose slots also name the
+stored entry: a lookup reads two buckets; no equal fingerprint there means "surely new", and nothing else is read or
+compared; an equal one is verified against the digest stored under that slot. When the filter overflows, it is rebuilt at
+twice the size from the stored keys. Entries can be deleted again. There is no other lookup structure.
 
 Copies are folded inside each input task first, so a group of any size, even a third of all rows, reaches the index as
-one partial entry per task; the decision joins back on the digest, where adaptive execution may split a hot key.
+one partial entry per task (and FOLD_ENTRIES new digests); the index is dealt by digest into as many parts as the counted
+rows need at PART_ENTRIES each, so a task's memory does not grow with the table. The decision joins back on the digest,
+where adaptive execution may split a hot key.
 
 Defined results: null text counts as empty; equal (id, text) rows are copies of each other and exactly one stays; null
 ids rank below every id; an empty table gives an empty result; other columns, whatever their names, are not touched."""
@@ -14,6 +17,7 @@ ids rank below every id; an empty table gives an empty result; other columns, wh
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -21,17 +25,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_buffer, written
+from .common import bounded_batches, free_name, text_buffer, written
+
+
+#: Digests that an input task folds before it hands them on, and rows of one part of the index.
+FOLD_ENTRIES = 1 << 18
+PART_ENTRIES = 1 << 20
 
 
 class CuckooFilter:
-    """Partial-key cuckoo filter: four 16-bit slots a bucket, two buckets a key. insert() is False when it is full."""
+    """Partial-key cuckoo filter: four slots a bucket, two buckets a key; a slot holds a 16-bit fingerprint (0: free) and
+    the number of the entry it stands for. insert() is False when it is full."""
 
     SLOTS, KICKS = 4, 200
 
     def __init__(self, buckets: int = 1024):
         self.mask = (1 << max(1, (buckets - 1).bit_length())) - 1
-        self.table = [[] for _ in range(self.mask + 1)]
+        self.marks = array("H", bytes(2 * self.SLOTS * (self.mask + 1)))
+        self.entry = array("i", bytes(4 * self.SLOTS * (self.mask + 1)))
         self.turn = 0
 
     def _place(self, key: bytes) -> tuple[int, int]:
@@ -40,81 +51,129 @@ class CuckooFilter:
     def _other(self, at: int, mark: int) -> int:
         return (at ^ (mark * 0x5BD1E995)) & self.mask
 
-    def __contains__(self, key: bytes) -> bool:
+    def slots(self, key: bytes) -> list[int]:
+        """The slots that hold the key's fingerprint in its two buckets."""
         mark, at = self._place(key)
-        return mark in self.table[at] or mark in self.table[self._other(at, mark)]
+        other, marks, found = self._other(at, mark), self.marks, []
+        for bucket in (at,) if at == other else (at, other):
+            lo = bucket * 4
+            if mark in marks[lo : lo + 4]:
+                found += [i for i in range(lo, lo + 4) if marks[i] == mark]
+        return found
 
-    def insert(self, key: bytes) -> bool:
+    def __contains__(self, key: bytes) -> bool:
+        return bool(self.slots(key))
+
+    def insert(self, key: bytes, entry: int = 0) -> bool:
         mark, at = self._place(key)
-        for place in (at, self._other(at, mark)):
-            if len(self.table[place]) < self.SLOTS:
-                self.table[place].append(mark)
+        marks, held = self.marks, self.entry
+        for bucket in (at, self._other(at, mark)):
+            lo = bucket * 4
+            if 0 in marks[lo : lo + 4]:
+                i = marks.index(0, lo, lo + 4)
+                marks[i], held[i] = mark, entry
                 return True
         at, undo = self._other(at, mark), []
         for _ in range(self.KICKS):
             self.turn = (self.turn + 1) % self.SLOTS
-            undo.append((at, self.turn, self.table[at][self.turn]))
-            mark, self.table[at][self.turn] = self.table[at][self.turn], mark
+            i = at * 4 + self.turn
+            undo.append((i, marks[i], held[i]))
+            marks[i], held[i], mark, entry = mark, entry, marks[i], held[i]
             at = self._other(at, mark)
-            if len(self.table[at]) < self.SLOTS:
-                self.table[at].append(mark)
+            lo = at * 4
+            if 0 in marks[lo : lo + 4]:
+                i = marks.index(0, lo, lo + 4)
+                marks[i], held[i] = mark, entry
                 return True
-        for place, slot, old in reversed(undo):
-            self.table[place][slot] = old
+        for i, old, number in reversed(undo):
+            marks[i], held[i] = old, number
         return False
 
-    def delete(self, key: bytes) -> bool:
-        mark, at = self._place(key)
-        for place in (at, self._other(at, mark)):
-            if mark in self.table[place]:
-                self.table[place].remove(mark)
+    def delete(self, key: bytes, entry: int | None = None) -> bool:
+        """Frees one slot with the key's fingerprint, that of the entry if one is named."""
+        for i in self.slots(key):
+            if entry is None or self.entry[i] == entry:
+                self.marks[i] = 0
                 return True
         return False
 
 
 class LiveDigests:
-    """A cuckoo filter in front of bucketed entries [digest, keep, n, same]; keep is (has id, id, row)."""
+    """Entries behind a cuckoo filter: digests end to end, and the row that stays (has id, id, row), n and same of each."""
+
+    WIDTH = 32
 
     def __init__(self, buckets: int = 1024):
         self.filter = CuckooFilter(buckets)
-        self.stored: dict[bytes, list[list]] = {}
-        self.resizes = 0
-
-    def _entry(self, digest: bytes) -> list | None:
-        if digest not in self.filter:
-            return None
-        return next((e for e in self.stored.get(digest[:8], ()) if e[0] == digest), None)
+        self.content = bytearray()
+        self.numbers = {k: array("q") for k in ("has", "id", "row", "n", "same")}
+        self.free: list[int] = []
+        self.resizes = self.verified = 0
+
+    def __len__(self) -> int:
+        return len(self.content) // self.WIDTH - len(self.free)
+
+    def _key(self, entry: int) -> bytes:
+        return bytes(self.content[entry * self.WIDTH : (entry + 1) * self.WIDTH])
+
+    def find(self, digest: bytes) -> int | None:
+        """The digest's entry: only slots with its fingerprint are compared with stored content."""
+        for slot in self.filter.slots(digest):
+            self.verified += 1
+            entry = self.filter.entry[slot]
+            if self._key(entry) == digest:
+                return entry
+        return None
+
+    def _live(self) -> Iterator[int]:
+        gone = set(self.free)
+        return (e for e in range(len(self.content) // self.WIDTH) if e not in gone)
 
     def _grow(self) -> None:
         size = 2 * (self.filter.mask + 1)
         while True:
             bigger = CuckooFilter(size)
-            if all(bigger.insert(e[0]) for bucket in self.stored.values() for e in bucket):
+            if all(bigger.insert(self._key(e), e) for e in self._live()):
                 self.filter, self.resizes = bigger, self.resizes + 1
                 return
             size *= 2
 
     def insert(self, digest: bytes, keep: tuple, n: int, same: int) -> None:
-        known = self._entry(digest)
-        if known is None:
-            self.stored.setdefault(digest[:8], []).append([digest, keep, n, same])
-            if not self.filter.insert(digest):
+        col, entry = self.numbers, self.find(digest)
+        if entry is None:
+            if self.free:
+                entry = self.free.pop()
+                self.content[entry * self.WIDTH : (entry + 1) * self.WIDTH] = digest
+                for k, v in zip(("has", "id", "row", "n", "same"), (*keep, n, same), strict=True):
+                    col[k][entry] = v
+            else:
+                entry = len(self.content) // self.WIDTH
+                self.content += digest
+                for k, v in zip(("has", "id", "row", "n", "same"), (*keep, n, same), strict=True):
+                    col[k].append(v)
+            if not self.filter.insert(digest, entry):
                 self._grow()
             return
-        known[2] += n
-        if keep[:2] == known[1][:2]:
-            known[1], known[3] = max(keep, known[1]), known[3] + same
-        elif keep > known[1]:
-            known[1], known[3] = keep, same
+        col["n"][entry] += n
+        known = (col["has"][entry], col["id"][entry], col["row"][entry])
+        if keep[:2] == known[:2]:
+            col["same"][entry] += same
+            col["row"][entry] = max(keep[2], known[2])
+        elif keep > known:
+            col["has"][entry], col["id"][entry], col["row"][entry] = keep
+            col["same"][entry] = same
 
     def delete(self, digest: bytes) -> bool:
-        if self._entry(digest) is None:
+        entry = self.find(digest)
+        if entry is None:
             return False
-        self.stored[digest[:8]] = [e for e in self.stored[digest[:8]] if e[0] != digest]
-        return self.filter.delete(digest)
+        self.free.append(entry)
+        return self.filter.delete(digest, entry)
 
-    def entries(self) -> Iterator[list]:
-        return (e for bucket in self.stored.values() for e in bucket)
+    def entries(self) -> Iterator[tuple]:
+        """(digest, (has id, id, row), n, same)"""
+        col = self.numbers
+        return ((self._key(e), (bool(col["has"][e]), col["id"][e], col["row"][e]), col["n"][e], col["same"][e]) for e in self._live())
 
 
 ENTRY = "digest binary, keep_id long, keep_row long, group_size long, same long"
@@ -133,7 +192,7 @@ def _emit(live: LiveDigests, size: int = 8192) -> Iterator[pa.RecordBatch]:
 
 
 def _rank(doc: int | None, row: int) -> tuple:
-    return (doc is not None, doc if doc is not None else 0, row)
+    return (int(doc is not None), doc if doc is not None else 0, row)
 
 
 def _fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +200,9 @@ def _fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for digest, doc, row in zip(b["digest"].to_pylist(), b["id"].to_pylist(), b["row"].to_pylist(), strict=True):
             live.insert(digest, _rank(doc, row), 1, 1)
+            if len(live) == FOLD_ENTRIES:
+                yield from _emit(live)
+                live = LiveDigests()
     yield from _emit(live)
 
 
@@ -191,7 +253,8 @@ def update_index(index: DataFrame | None, inserted: DataFrame | None = None, del
     ops = parts[0]
     for p in parts[1:]:
         ops = ops.unionByName(p)
-    return written(ops.repartition("digest").sortWithinPartitions("op").mapInArrow(_merge, ENTRY), "live-digests")
+    parts = -(-sum(x.count() for x in (index, inserted, deleted) if x is not None) // PART_ENTRIES)  # of written tables
+    return written(ops.repartition(max(1, parts), "digest").sortWithinPartitions("op").mapInArrow(_merge, ENTRY), "live-digests")
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,19 +268,22 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    index = build_index(digests(docs, id_col, text_col))
-    mark = "__digest"
-    while mark in docs.columns:
-        mark += "_"
+    rows = digests(docs, id_col, text_col)
+    index = build_index(rows)
+    mark = free_name(docs, "__digest")
     schema = docs.schema
 
     def run(batches):
         for b in batches:
             yield b.append_column(mark, _digest_column(b[text_col]))
 
-    keepers = index.select(F.col("digest").alias(f"{mark}k"), F.col("keep_id").alias(f"{mark}i"), F.col("same").alias(f"{mark}n"))
+    # texts stay where they are: only the digests of rows that go are sent to them
+    gone = rows.join(index, "digest").filter("not id <=> keep_id").select(F.col("digest").alias(f"{mark}k"), F.col("id").alias(f"{mark}i")).distinct()
+    lost = written(gone, "lost-digests")
     marked = docs.mapInArrow(run, type(schema)(list(schema.fields)).add(mark, "binary"))
-    kept = marked.join(keepers, (F.col(mark) == F.col(f"{mark}k")) & F.col(id_col).cast("long").eqNullSafe(F.col(f"{mark}i")), "left_semi")
-    if not index.filter("same > 1").isEmpty():  # the very same row occurs again: one of them stays
-        kept = kept.dropDuplicates([id_col, mark])
+    own = (F.col(mark) == F.col(f"{mark}k")) & F.col(id_col).cast("long").eqNullSafe(F.col(f"{mark}i"))
+    kept = marked.join(lost, own, "left_anti")
+    again = index.filter("same > 1").select(F.col("digest").alias(f"{mark}k"), F.col("keep_id").alias(f"{mark}i"))
+    if not again.isEmpty():  # the very same row occurs again: one of them stays
+        kept = kept.join(again, own, "left_anti").unionByName(kept.join(again, own, "left_semi").dropDuplicates([id_col, mark]))
     return kept.select(*docs.columns)

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_buffer, written
+from .common import bounded_batches, free_name, text_buffer, written
 from .components import components
 from .hashing import LOWER, distinct_by_row, mix, shingles, word_hashes
 
@@ -333,5 +333,6 @@ def keep_one(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100)
 
     Rows without an id can't be told apart and stay."""
     found = join_components(docs, width, share, id_col, text_col)
-    lost = written(found.filter("component_id < doc_id").select(F.col("doc_id").alias("__lost")).distinct(), "lost")
-    return docs.join(lost, F.col(id_col).cast("long") == F.col("__lost"), "left_anti")
+    mark = free_name(docs, "__lost")
+    lost = written(found.filter("component_id < doc_id").select(F.col("doc_id").alias(mark)).distinct(), "lost")
+    return docs.join(lost, F.col(id_col).cast("long") == F.col(mark), "left_anti")

@@ -1,6 +1,7 @@
 import hashlib
 import os
 import random
+import tracemalloc
 
 from attestry.llm import exact_dedup as X
 
@@ -69,3 +70,49 @@ def test_index_updates(spark):
     more = X.digests(frame(spark, [(11, "é", None), (12, "new", None)]))
     after = {r.keep_id: r.group_size for r in X.update_index(index, more, gone).collect()}
     assert 5 not in after and after[11] == 2 and after[12] == 1 and after[4] == 2
+
+
+def test_lookups_read_content_only_on_fingerprint_hits():
+    random.seed(2)
+    live = X.LiveDigests()
+    keys = [random.randbytes(32) for _ in range(20_000)]
+    for k in keys:
+        live.insert(k, (True, 1, 0), 1, 1)
+    assert live.verified < 40  # new keys are told new by the filter alone
+    seen = live.verified
+    for k in keys[:1000]:
+        live.insert(k, (True, 1, 0), 1, 1)
+    assert 1000 <= live.verified - seen < 1040
+    gone = set()
+    for _ in range(5000):  # any order of operations, against a set
+        k = keys[random.randrange(300)]
+        if random.random() < 0.5:
+            assert live.delete(k) == (k not in gone)
+            gone.add(k)
+        else:
+            live.insert(k, (True, 2, 0), 1, 1)
+            gone.discard(k)
+    assert len(live) == 20_000 - len(gone) and {e[0] for e in live.entries()} == set(keys) - gone
+
+
+def test_memory_of_the_index_is_bounded_by_its_part(spark, monkeypatch):
+    live = X.LiveDigests()
+    tracemalloc.start()
+    for i in range(50_000):
+        live.insert(hashlib.sha256(str(i).encode()).digest(), (True, i, i), 1, 1)
+    assert tracemalloc.get_traced_memory()[0] < 150 * 50_000
+    tracemalloc.stop()
+    monkeypatch.setattr(X, "PART_ENTRIES", 500)
+    monkeypatch.setattr(X, "FOLD_ENTRIES", 64)
+    rows = spark.range(5000).selectExpr("id as doc_id", "cast(id % 2500 as string) as text").coalesce(1)
+    dealt = []
+    plain = type(rows).repartition
+    monkeypatch.setattr(type(rows), "repartition", lambda df, n, *c: dealt.append(n) or plain(df, n, *c))
+    got = X.decide(rows).groupBy("group_size", "kept").count().collect()
+    assert dealt == [10] and {(r.group_size, r.kept): r["count"] for r in got} == {(2, True): 2500, (2, False): 2500}
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a", 1, 2, 3), (2, "A", 4, 5, 6), (2, "A", 4, 5, 6)], "doc_id long, text string, __digestk int, __DIGEST int, __digest_i int")
+    got = X.deduplicate(df)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(2, "A", 4, 5, 6)]

@@ -84,3 +84,10 @@ def test_every_linked_pair_of_small_sizes_shares_a_subset():
             linked = need <= s and 100 * need >= 90 * (s + t - need)
             listed = any(x[:2] == (s, t) for x in N.subsets_of(s, 24, share)) or (s == t == need)
             assert linked == listed or (s == t and need == s), (s, t)
+
+
+def test_keep_one_with_columns_of_any_name(spark):
+    text = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(1, text, 7), (2, text, 8), (3, "other words", 9)], "doc_id long, text string, __LOST int")
+    got = N.keep_one(df)
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
