@@ -1,8 +1,8 @@
 """N-gram Jaccard self-join, size-aware: subsets for small sets, inverted lists for large ones, boundary by cost.
 
 1. Profile. Every text becomes the set of its distinct word shingles, as 64-bit hashes. Equal sets form one class, so
-   copies cost one row each and no pair. The same pass counts shingles over all documents in a fixed table of SKETCH
-   counters; they order shingles from rare to common. Any order gives the same links; this one gives short lists.
+   copies cost one row each and no pair. The same pass counts shingles over all documents in a table of counters, sized
+   by the size of the input between two bounds (SKETCH); they order shingles from rare to common. Any order gives the same links; this one gives short lists.
 2. Small sets (both sizes up to the boundary): for sizes s <= t a link needs c(s, t) common shingles, so every subset
    of exactly c shingles is enumerated and sets that share one are linked; all members of such a group are linked to
    one member of size s.
@@ -38,11 +38,26 @@ from .common import bounded_batches, free_name, text_buffer, written
 from .components import components
 from .hashing import LOWER, distinct_by_row, mix, shingles, word_hashes
 
-SKETCH = 1 << 21
+#: Least and greatest number of counters (a power of two: one for each 128 bytes of input), and bits a counted row of a
+#: bit table, whose 64-bit words are bounded likewise. Beyond the greatest size both only screen less.
+SKETCH = 1 << 21, 1 << 24
 CHUNKS = 32
-BLOOM_WORDS = 1 << 21
+BITS_A_ROW = 16
+BLOOM_WORDS = 1 << 21, 1 << 23
 PARITY = 4  # 64-bit words of a parity bitmap
-MOST_SMALL = 24
+
+
+def _power(least: int, wanted: float, most: int) -> int:
+    return min(most, max(least, 1 << math.ceil(math.log2(max(wanted, 1)))))
+
+
+def sketch_size(docs: DataFrame) -> int:
+    """Counters for this input, by the planner's estimate of its bytes."""
+    return _power(SKETCH[0], float(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 128, SKETCH[1])
+
+
+def _counter(values: np.ndarray, size: int) -> np.ndarray:
+    return (values >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 def _sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,35 +95,51 @@ def subsets_of(n: int, most: int, share: tuple[int, int]) -> list[tuple[int, int
     return [(s, t, c) for s, t, c in found if c <= s and not s == t == c]
 
 
+def subsets_each(n: int, share: tuple[int, int]) -> int:
+    """How many subsets a set of size n enumerates if no set is larger."""
+    return sum(math.comb(n, c) for _, _, c in subsets_of(n, n, share))
+
+
+def list_cost(n: int, share: tuple[int, int], list_length: float) -> float:
+    num, den = share
+    return (n - -(-num * n // den) + 1) * (1 + list_length)
+
+
+def largest_light(longest: int, share: tuple[int, int], list_length: float) -> int:
+    """The size beyond which subsets of a set never cost less than its lists, up to the longest that occurs."""
+    n = 0
+    while n < longest and math.comb(n + 1, least_overlap(n + 1, n + 1, share)) <= (n + 2) * (1 + list_length):
+        n += 1
+    return n
+
+
 def boundary(counts: dict[int, int], share: tuple[int, int], list_length: float) -> int:
     """The size up to which subsets cost less than lists, over the sizes that occur."""
-    num, den = share
-    best, best_cost, light, heavy = 0, 0.0, 0.0, 0.0
-    for n in range(1, MOST_SMALL + 1):
-        each = sum(math.comb(n, c) for _, _, c in subsets_of(n, n, share))
-        light += counts.get(n, 0) * each
-        heavy += counts.get(n, 0) * (n - -(-num * n // den) + 1) * (1 + list_length)
-        if light - heavy <= best_cost:
-            best, best_cost = n, light - heavy
+    best, best_cost, cost = 0, 0.0, 0.0
+    for n in range(1, max(counts, default=0) + 1):
+        if n in counts:
+            cost += counts[n] * (subsets_each(n, share) - list_cost(n, share, list_length))
+        if cost <= best_cost:
+            best, best_cost = n, cost
     return best
 
 
-def profile(docs: DataFrame, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """One pass: rows of (id, n, cls, cls2), and the task's shingle counters in CHUNKS rows each."""
+def profile(docs: DataFrame, width: int, seed: int, id_col: str, text_col: str, size: int = SKETCH[0]) -> DataFrame:
+    """One pass: rows of (id, n, cls, cls2), and the task's shingle counters (32 bits each) in CHUNKS rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.int64)
+        counts = np.zeros(size, np.uint32)
         names = ["id", "n", "cls", "cls2", "chunk", "counts"]
         for b in batches:
             values, rows = _sets(b["t"], width)
-            for lo in range(0, len(values), 1 << 20):
-                counts += np.bincount((values[lo : lo + (1 << 20)] >> np.uint64(43)).astype(np.int64), minlength=SKETCH)
+            at, times = np.unique(_counter(values, size), return_counts=True)
+            counts[at] += np.minimum(times, np.uint32(0xFFFFFFFF) - counts[at]).astype(np.uint32)
             one, two = _class_keys(values, rows, seed)
             n = np.diff(rows)
             none = n == 0
             k = b.num_rows
             yield pa.RecordBatch.from_arrays([b["i"], pa.array(n), pa.array(one, mask=none), pa.array(two, mask=none), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
-        part = np.minimum(counts, 255).astype(np.uint8).reshape(CHUNKS, -1)
+        part = counts.astype("<u4").reshape(CHUNKS, -1)
         null = pa.nulls(CHUNKS, pa.int64())
         yield pa.RecordBatch.from_arrays([null, null, null, null, pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([x.tobytes() for x in part], pa.binary())], names=names)
 
@@ -116,19 +147,19 @@ def profile(docs: DataFrame, width: int, seed: int, id_col: str, text_col: str)
     return written(got.mapInArrow(run, "id long, n long, cls long, cls2 long, chunk int, counts binary"), "profile")
 
 
-def rarity(profiled: DataFrame) -> np.ndarray:
-    """Per counter, 4 log2(1 + count) rounded, over all documents: SKETCH bytes, whatever the input."""
+def rarity(profiled: DataFrame, size: int = SKETCH[0]) -> np.ndarray:
+    """Per counter, 4 log2(1 + count) rounded, over all documents: a byte each."""
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for c, x in zip(b["chunk"].to_pylist(), b["counts"].to_pylist(), strict=True):
-                sums[c] = sums.get(c, 0) + np.frombuffer(x, np.uint8).astype(np.int64)
+                sums[c] = sums.get(c, 0) + np.frombuffer(x, "<u4").astype(np.int64)
         packed = [np.minimum(np.rint(4 * np.log2(1 + x)), 255).astype(np.uint8).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "counts"])
 
     got = profiled.filter("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, counts binary").collect()
-    out = np.zeros((CHUNKS, SKETCH // CHUNKS), np.uint8)
+    out = np.zeros((CHUNKS, size // CHUNKS), np.uint8)
     for r in got:
         out[r["chunk"]] = np.frombuffer(r["counts"], np.uint8)
     return out.reshape(-1)
@@ -145,7 +176,7 @@ def keys(docs: DataFrame, width: int, seed: int, share: tuple[int, int], most: i
         for b in batches:
             values, rows = _sets(b["t"], width)
             cls, _ = _class_keys(values, rows, seed)
-            order = (rank[(values >> np.uint64(43)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (values >> np.uint64(8))
+            order = (rank[_counter(values, len(rank))].astype(np.uint64) << np.uint64(56)) | (values >> np.uint64(8))
             out: list[tuple[int, int, int, int, list]] = []
             for r, (lo, hi) in enumerate(zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)):
                 n, c = hi - lo, int(cls[r])
@@ -160,7 +191,7 @@ def keys(docs: DataFrame, width: int, seed: int, share: tuple[int, int], most: i
                     total = own.sum(dtype=np.uint64)
                     for s, t, least in subsets_of(n, most, share):
                         gone = np.array([own[list(x)].sum(dtype=np.uint64) for x in combinations(range(n), n - least)], np.uint64)
-                        grouped.setdefault(s, []).append(mix(total - gone + np.uint64(s * 4096 + t)).view(np.int64))
+                        grouped.setdefault(s, []).append(mix(total - gone + np.uint64((s << 32) + t)).view(np.int64))
                     out += [(0, c, n, s, np.concatenate(x).tolist()) for s, x in grouped.items()]
                 if n >= low:
                     first = np.partition(order[lo:hi], (n - -(-num * n // den)))[: n - -(-num * n // den) + 1]
@@ -175,16 +206,17 @@ def keys(docs: DataFrame, width: int, seed: int, share: tuple[int, int], most: i
 
 
 def _bit_table(rows: DataFrame, hashed: Column):
-    """A broadcast table of BLOOM_WORDS * 64 bits, one for each row, at the top bits of a hash: its size is fixed."""
-    at = rows.select(F.shiftrightunsigned(hashed, 37).alias("h")).groupBy(F.shiftright("h", 6).alias("word"))
+    """A broadcast bit table, one bit for each row, at the top bits of a hash: its size is bounded by BLOOM_WORDS."""
+    size = _power(BLOOM_WORDS[0], rows.count() * BITS_A_ROW / 64, BLOOM_WORDS[1])
+    at = rows.select(F.shiftrightunsigned(hashed, 59 - size.bit_length()).alias("h")).groupBy(F.shiftright("h", 6).alias("word"))
     got = at.agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("bits")).toArrow()
-    full = np.zeros(BLOOM_WORDS, np.int64)
+    full = np.zeros(size, np.int64)
     full[got["word"].to_numpy()] = got["bits"].to_numpy()
     return rows.sparkSession.sparkContext.broadcast(full)
 
 
 def _in_table(held, hashed: np.ndarray) -> pa.Array:
-    h = (hashed.view(np.uint64) >> np.uint64(37)).astype(np.int64)
+    h = (hashed.view(np.uint64) >> np.uint64(59 - len(held.value).bit_length())).astype(np.int64)
     return pa.array(((held.value[h >> 6] >> (h & 63)) & 1).astype(bool))
 
 
@@ -200,7 +232,10 @@ def lists(keyed: DataFrame) -> DataFrame:
 
     rows = large.select("cls", "n", F.posexplode("keys").alias("pos", "key")).withColumn("h", F.xxhash64("key"))
     rows = rows.mapInArrow(screen, rows.schema).drop("h")  # what is surely in one list alone goes before the shuffle
-    return written(rows.join(shared, "key", "left_semi").select("key", "cls", "n", "pos").dropDuplicates(["key", "cls"]), "lists")
+    # entries of one class from several tasks are folded before they are dealt by key alone: an aggregate in the join's
+    # stage would keep adaptive execution from splitting a hot key
+    once = written(rows.groupBy("key", "cls").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "entries")
+    return written(once.join(shared, "key", "left_semi").select("key", "cls", "n", "pos"), "lists")
 
 
 def _fits(a: str, b: str, share: tuple[int, int], most: int) -> str:
@@ -215,7 +250,7 @@ def _fits(a: str, b: str, share: tuple[int, int], most: int) -> str:
 
 def _small_pairs(keyed: DataFrame) -> DataFrame:
     entries = keyed.filter("kind = 0").select("cls", "n", "s", F.explode("keys").alias("key"))
-    heads = entries.filter("n = s").groupBy("key").agg(F.min("cls").alias("head"))
+    heads = written(entries.filter("n = s").groupBy("key").agg(F.min("cls").alias("head")), "heads")
     return entries.join(heads, "key").filter("cls <> head").select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b"))
 
 
@@ -231,6 +266,7 @@ def _rest_pairs(entries: DataFrame, labels: DataFrame, share: tuple[int, int], m
     marked = entries.join(labels, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", "pos", F.coalesce("comp", "cls").alias("comp"))
     marked = written(marked, "marked")
     open_ = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    open_ = written(open_, "open-keys")
     marked = written(marked.join(open_, "key", "left_semi"), "open")
     x, y = marked.alias("x"), marked.alias("y")
     got = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr(f"x.cls < y.cls and x.comp <> y.comp and {_fits('x', 'y', share, most)}"))
@@ -291,17 +327,20 @@ def join_components(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     """One row per document: doc_id, n_shingles, component_id (least id reachable by links of Jaccard >= share)."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    size = sketch_size(docs)
     for seed in range(8):
-        profiled = profile(docs, width, seed, id_col, text_col)
+        profiled = profile(docs, width, seed, id_col, text_col, size)
         rows = profiled.filter("chunk is null").select("id", "n", "cls", "cls2")
         grouped = rows.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("cls2").alias("lo"), F.max("cls2").alias("hi"))
         classes = written(grouped, "classes")
         if classes.filter("lo <> hi").isEmpty():  # else two different sets share a 64-bit key: hash anew
             break
-    ranks = rarity(profiled)
-    counts = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= MOST_SMALL).groupBy("n").count().collect()}
+    ranks = rarity(profiled, size)
     used = ranks[ranks > 0]
-    most = boundary(counts, share, float(np.exp2(used.astype(float).mean() / 4)) if len(used) else 1.0)
+    list_length = float(np.exp2(used.astype(float).mean() / 4)) if len(used) else 1.0
+    longest = classes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    light = classes.filter(F.col("n") <= largest_light(longest, share, list_length))
+    most = boundary({r["n"]: r["count"] for r in light.groupBy("n").count().collect()}, share, list_length)
     keyed = keys(docs, width, seed, share, most, spark.sparkContext.broadcast(ranks), id_col, text_col)
     entries = lists(keyed)
 

@@ -91,3 +91,14 @@ def test_keep_one_with_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, text, 7), (2, text, 8), (3, "other words", 9)], "doc_id long, text string, __LOST int")
     got = N.keep_one(df)
     assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
+def test_boundary_is_the_cheapest_of_all_sizes():
+    rng = random.Random(5)
+    for share in ((90, 100), (80, 100)):
+        for list_length in (1.0, 40.0, 2000.0):
+            counts = {n: rng.randrange(1, 50) for n in range(1, 400) if rng.random() < 0.7}
+            top = N.largest_light(max(counts), share, list_length)
+            got = N.boundary({n: c for n, c in counts.items() if n <= top}, share, list_length)
+            cost = [sum(c * (N.subsets_each(n, share) if n <= b else N.list_cost(n, share, list_length)) for n, c in counts.items()) for b in range(100)]
+            assert cost[got] == pytest.approx(min(cost)) and top < 100
