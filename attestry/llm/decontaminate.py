@@ -4,21 +4,25 @@ An item is a few dozen 5-word shingles, a document may be 20,000 words, so their
 Items are therefore partitioned by size; for each size class a document is read through windows of twice the class
 width, one width apart, so that every possible occurrence lies whole in one window of comparable size. Sets are
 sketched by one-permutation MinHash (BINS bins, the least shingle hash of a bin is its value); item and window are a
-candidate pair when one bin agrees. Items of fewer than SMALL shingles are not sketched: each document that holds one of
-their shingles is a candidate, since a set of one shingle loses its bin to a neighbour in about 1 of 512 windows. Every
-candidate is verified: |item and document| / |item| over the whole document, exactly.
+candidate pair when one bin agrees. Items of fewer than SMALL shingles are not sketched, since a set of one shingle loses
+its bin to a neighbour in about 1 of 512 windows: of n shingles a match may miss n - ceil(threshold n), so each document
+that holds one of the item's rarest n - ceil(threshold n) + 1 (rare among the items) is a candidate, and wording that
+many items share is not looked up. Every candidate is verified once: |item and document| / |item| over the whole
+document, exactly.
 
 Words are runs of letters and digits after Unicode lower-casing, so case and punctuation do not hide a leak. An item
 of fewer than five words is one shingle of its own length.
 
 The items are the query set: they travel to the tasks in blocks of at most BLOCK_SHINGLES shingles, one pass over the
-documents a block, so nothing unbounded is broadcast. Documents are never shuffled.
+documents a block. A block's result is written and its broadcast released before the next one travels, so at most one is
+held at a time, however many items there are. Documents are never shuffled.
 
 Defined results: null or empty texts and items without words match nothing; repeated rows each match; an empty table on
 either side gives no rows. Items without id have no rows in leaks(), but decontaminate() heeds them."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_buffer
+from .common import bounded_batches, text_buffer, written
 from .hashing import distinct_by_row, shingles, word_hashes
 
 BINS = 256
@@ -40,29 +44,35 @@ BREAK[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 class Items:
     """Benchmark items of one block, sketched: for each shingle length, signature values and the items they belong to."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], width: int):
+    def __init__(self, ids: list[int], texts: list[str | None], width: int, threshold: float = 0.8):
         raw, off = text_buffer(pc.utf8_lower(pa.array(texts, pa.string())))
         words, rows, _ = word_hashes(raw, off, BREAK)
         n_words = np.diff(rows)
-        self.ids, self.width, self.parts = np.array(ids, np.int64), width, {}
+        self.ids, self.width = np.array(ids, np.int64), width
+        #: by shingle length: a screen, and by size class (0: not sketched) sorted values and their items
+        self.parts: dict[int, tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]] = {}
         self.sets: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(ids)
         for k in sorted({*np.minimum(n_words[n_words > 0], width).tolist()}):
             mine = np.flatnonzero(np.minimum(n_words, width) == k)
             s, p = distinct_by_row(*shingles(words, rows, int(k), "none"))
-            values, owners, classes = [], [], []
-            for i in mine:
-                own = s[p[i] : p[i + 1]]
-                self.sets[i] = own
-                sig = signature(own) if len(own) >= SMALL else own
-                values.append(sig)
-                owners.append(np.full(len(sig), i))
-                classes.append(np.full(len(sig), max(1, int(len(own)).bit_length())))
-            v, o, c = (np.concatenate(x) for x in (values, owners, classes))
-            order = np.argsort(v, kind="stable")
-            v, o, c = v[order], o[order], c[order]
-            screen = np.zeros(1 << 20, bool)
-            screen[v >> np.uint64(44)] = True
-            self.parts[int(k)] = (v, o, c, screen)
+            own = {i: s[p[i] : p[i + 1]] for i in mine.tolist()}
+            names, uses = np.unique(np.concatenate([*own.values(), s[:0]]), return_counts=True)
+            found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for i, x in own.items():
+                self.sets[i] = x
+                if len(x) >= SMALL:
+                    values, size_class = signature(x), int(len(x)).bit_length()
+                else:
+                    first = np.lexsort((x, uses[np.searchsorted(names, x)]))
+                    values, size_class = x[first[: len(x) - max(1, math.ceil(threshold * len(x) - 1e-9)) + 1]], 0
+                found.setdefault(size_class, []).append((values, np.full(len(values), i)))
+            screen, tables = np.zeros(1 << 20, bool), {}
+            for size_class, rows_of in found.items():
+                v, o = (np.concatenate(x) for x in zip(*rows_of, strict=True))
+                order = np.argsort(v, kind="stable")
+                tables[size_class] = v[order], o[order]
+                screen[v >> np.uint64(44)] = True
+            self.parts[int(k)] = screen, tables
 
 
 def signature(values: np.ndarray) -> np.ndarray:
@@ -74,28 +84,30 @@ def signature(values: np.ndarray) -> np.ndarray:
 def matches(items: Items, raw: np.ndarray, off: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, int]]:
     """(row, item, shared shingles, item shingles) of each pair at the threshold or above."""
     words, rows, _ = word_hashes(raw, off, BREAK)
-    for k, (v, owners, classes, screen) in items.parts.items():
+    for k, (screen, tables) in items.parts.items():
         s, p = shingles(words, rows, k, "none")
-        near = np.flatnonzero(screen[s >> np.uint64(44)])
-        lo = np.searchsorted(v, s[near], "left")
-        hi = np.searchsorted(v, s[near], "right")
-        hit = hi > lo
-        near, lo, hi = near[hit], lo[hit], hi[hit]
-        where = np.searchsorted(p, near, "right") - 1
+        close = np.flatnonzero(screen[s >> np.uint64(44)])
         tried: set[tuple[int, int]] = set()
-        whole: tuple[int, np.ndarray] = (-1, s[:0])
-        for at, row, a, b in zip(near.tolist(), where.tolist(), lo.tolist(), hi.tolist(), strict=True):
-            for item, size_class in zip(owners[a:b].tolist(), classes[a:b].tolist(), strict=True):
-                if (row, item) in tried or len(items.sets[item]) >= SMALL and not _agrees(s, int(p[row]), int(p[row + 1]), at, 1 << size_class):
-                    continue
-                tried.add((row, item))
-                if whole[0] != row:
-                    whole = row, np.unique(s[p[row] : p[row + 1]])
-                own = items.sets[item]
-                found = np.searchsorted(whole[1], own)
-                shared = int((whole[1][np.minimum(found, len(whole[1]) - 1)] == own).sum())
-                if shared >= threshold * len(own):
-                    yield row, item, shared, len(own)
+        for size_class, (v, owners) in tables.items():
+            lo, hi = np.searchsorted(v, s[close], "left"), np.searchsorted(v, s[close], "right")
+            near, lo, hi = close[hi > lo], lo[hi > lo], hi[hi > lo]
+            where = np.searchsorted(p, near, "right") - 1
+            if size_class:  # one test an occurrence and size class, however many items share the value
+                ok = np.array([_agrees(s, int(p[r]), int(p[r + 1]), at, 1 << size_class) for at, r in zip(near.tolist(), where.tolist(), strict=True)], bool)
+                where, lo, hi = where[ok], lo[ok], hi[ok]
+            held, whole = -1, s[:0]
+            for row, a, b in sorted(set(zip(where.tolist(), lo.tolist(), hi.tolist(), strict=True))):
+                for item in owners[a:b].tolist():
+                    if (row, item) in tried:
+                        continue
+                    tried.add((row, item))
+                    if held != row:
+                        held, whole = row, np.unique(s[p[row] : p[row + 1]])
+                    own = items.sets[item]
+                    found = np.searchsorted(whole, own)
+                    shared = int((whole[np.minimum(found, len(whole) - 1)] == own).sum())
+                    if shared >= threshold * len(own):
+                        yield row, item, shared, len(own)
 
 
 def _agrees(s: np.ndarray, start: int, stop: int, at: int, width: int) -> bool:
@@ -108,7 +120,7 @@ def _agrees(s: np.ndarray, start: int, stop: int, at: int, width: int) -> bool:
     return False
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, unnamed: bool = False) -> Iterator[Items]:
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, threshold: float, unnamed: bool = False) -> Iterator[Items]:
     """The benchmark in blocks of bounded size, each fetched on its own; unnamed: also items without id, as item -1."""
     total = benchmark.select(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     n = 1 + int(total) // (4 * BLOCK_SHINGLES)
@@ -118,7 +130,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, unnamed
         ids, texts = got["i"].to_pylist(), got["t"].to_pylist()
         keep = [(-1 if a is None else a, b) for a, b in zip(ids, texts, strict=True) if unnamed or a is not None]
         if keep:
-            yield Items([a for a, _ in keep], [b for _, b in keep], width)
+            yield Items([a for a, _ in keep], [b for _, b in keep], width, threshold)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -126,8 +138,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, width:
     spark = docs.sparkSession
     bounded_batches(spark)
     schema = "doc_id long, item_id long, n_shared long, n_shingles long, containment double"
-    out = None
-    for items in blocks(benchmark, item_col, text_col, width):
+    out = before = None
+    for items in blocks(benchmark, item_col, text_col, width, threshold):
+        if before is not None:
+            out = written(out, "leaks")
+            before.unpersist()
         held = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -140,7 +155,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, width:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.float64()], strict=True)], names=["doc_id", "item_id", "n_shared", "n_shingles", "containment"])
 
         found = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
+        out, before = found if out is None else out.unionByName(found), held
     return out if out is not None else spark.createDataFrame([], schema)
 
 
@@ -148,8 +163,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     """The documents that hold no benchmark item, with all their columns; nothing is shuffled."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    out = docs
-    for items in blocks(benchmark, "item_id", "text", width, unnamed=True):
+    out, before = docs, None
+    for items in blocks(benchmark, "item_id", "text", width, threshold, unnamed=True):
+        if before is not None:
+            out = written(out, "clean")
+            before.unpersist()
         held = spark.sparkContext.broadcast(items)
 
         def run(batches, held=held):
@@ -159,5 +177,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
                 clean[[r for r, *_ in matches(held.value, raw, off, threshold)]] = False
                 yield b.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, docs.schema)
+        out, before = out.mapInArrow(run, docs.schema), held
     return out

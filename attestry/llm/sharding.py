@@ -5,8 +5,9 @@ for n shards follows from the map for n - 1: the new shard takes its share of sl
 nothing else moves. Bytes are summed per slot, and rebalance() edits a copy of the map under the next version number by
 moving slots from the heaviest to the lightest shard. The map and the sums have SLOTS rows, whatever the input.
 
-Places inside a shard are gapless. They are a prefix sum over (slot, input partition) counts plus a rank inside that
-pair, so even an id that a third of all rows share is numbered in as many tasks as its rows came from.
+Places inside a shard are gapless. They are a prefix sum over (slot, lane) counts plus a rank inside that pair; a row's
+lane is its input partition's remainder by the number of lanes, one for each LANE_ROWS rows of the table. So even an id
+that a third of all rows share is numbered in lanes, and the counts are SLOTS rows a lane, however many partitions.
 
 Defined results: null text has no bytes and the CRC of the empty string; null ids share one slot; repeated rows each
 get a place; an empty table gives no rows; other columns are not read."""
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 SLOTS = 4096
+LANE_ROWS, LEAST_LANES = 16_000_000, 8
 
 
 def grow(owners: Sequence[int], shards: int) -> list[int]:
@@ -109,6 +111,8 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     placed = place(docs, id_col, text_col)
     stored = store_map(placed, {shards: owners, shards + 1: grow(owners, shards)})
     maps = stored.groupBy("vslot").pivot("version", [shards, shards + 1]).agg(F.first("owner")).toDF("vslot", "shard", "grown_shard")
+    lanes = max(LEAST_LANES, -(-placed.count() // LANE_ROWS))
+    placed = placed.withColumn("part", F.pmod("part", F.lit(lanes)))
     counts = written(placed.groupBy("vslot", "part").agg(F.count("*").alias("n")), "slot-counts")
     whole = counts.groupBy("vslot").agg(F.sum("n").alias("rows")).join(maps, "vslot")
     before = F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot")) - F.col("rows")  # SLOTS rows in all

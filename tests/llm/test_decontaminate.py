@@ -68,3 +68,22 @@ def test_items_without_id_are_heeded(spark):
     docs = spark.createDataFrame([(1, "one two three four five six"), (2, "clean text")], "doc_id long, text string")
     items = spark.createDataFrame([(None, "one two three four five six")], "item_id long, text string")
     assert [r.doc_id for r in D.decontaminate(docs, items).collect()] == [2] and D.leaks(docs, items).count() == 0
+
+
+def test_many_items_with_shared_wording_in_many_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(12)]
+    lead = "answer the following question with one of"
+    items = [(i, f"{lead} {' '.join(rng.choices(words, k=rng.randrange(0, 30)))}") for i in range(60)]
+    docs = [(i, " ".join([*rng.choices(words, k=40), rng.choice(items)[1] if i % 3 else lead, *rng.choices(words, k=9)])) for i in range(40)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def sets(t, k=5):
+        w = t.split()
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+    want = sorted((x, y, len(sets(s) & sets(t))) for x, s in docs for y, t in items if len(sets(s) & sets(t)) >= 0.8 * len(sets(t)))
+    for size in (D.BLOCK_SHINGLES, 300):
+        monkeypatch.setattr(D, "BLOCK_SHINGLES", size)
+        assert sorted((r.doc_id, r.item_id, r.n_shared) for r in D.leaks(d, b).collect()) == want and len(want) > 20
+        assert sorted(r.doc_id for r in D.decontaminate(d, b).collect()) == sorted({x for x, _ in docs} - {x for x, _, _ in want})
