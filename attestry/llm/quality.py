@@ -9,7 +9,8 @@ one hidden layer is trained on at most max_train labelled rows chosen by hash; p
 training and to fit the temperature that calibrates its probabilities.
 
 Defined results: null, empty and blank texts are a document of no words and are scored like any other; labels of null
-are not used; repeated label rows count once; without labels of both kinds every score is the share of label 1 (0.5
+are not used; repeated label rows count once; of rows that share an id with other texts one, chosen by a hash of the text, is learned
+from; without labels of both kinds every score is the share of label 1 (0.5
 without any); other columns are not read."""
 
 from __future__ import annotations
@@ -179,11 +180,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = pooled(b["t"], held.value)
-            yield pa.RecordBatch.from_arrays([b["i"], b["y"], pa.array(list(x), pa.list_(pa.float32()))], names=["i", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b["i"], b["y"], b["h"], pa.array(list(x), pa.list_(pa.float32()))], names=["i", "y", "h", "x"])
 
     held = docs.sparkSession.sparkContext.broadcast(table)
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).join(sample, "i").mapInArrow(run, "i long, y int, x array<float>")
-    got = rows.groupBy("i").agg(F.first("x").alias("x"), F.first("y").alias("y")).toArrow()
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).join(sample, "i")
+    # of rows that share an id the one of least text hash counts, whatever the order of tasks
+    got = rows.mapInArrow(run, "i long, y int, h long, x array<float>").groupBy("i").agg(F.min_by("x", "h").alias("x"), F.min("y").alias("y")).toArrow()
     order = np.argsort(got["i"].to_numpy(), kind="stable")
     y = got["y"].to_numpy().astype(float)[order]
     if len(np.unique(y)) < 2:

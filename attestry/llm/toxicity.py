@@ -339,7 +339,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     size = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     part = [marked.filter(test).orderBy(F.xxhash64("i"), "i").limit(n) for test, n in (("y = 1", max_toxic), ("y = 0", max_clean))]
     sample = F.broadcast(part[0].unionByName(part[1]))  # at most max_toxic + max_clean rows of two numbers
-    got = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(text_col, F.lit("")).alias("t")).join(sample, "i").groupBy("i").agg(F.first("t").alias("t"), F.first("y").alias("y")).toArrow()
+    got = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(text_col, F.lit("")).alias("t")).join(sample, "i")
+    # of rows that share an id the one of least text hash counts, whatever the order of tasks
+    got = got.groupBy("i").agg(F.min_by("t", F.xxhash64("t")).alias("t"), F.min("y").alias("y")).toArrow()
     order = np.argsort(got["i"].to_numpy(), kind="stable")
     texts, y = got["t"].combine_chunks().take(pa.array(order)), got["y"].to_numpy()[order]
     del got

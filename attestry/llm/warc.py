@@ -96,7 +96,7 @@ def write(found: DataFrame, path: str, max_records: int = 60_000) -> None:
                     own = _record("response", main, [*place, ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")], http + payload)
                 joined = ("WARC-Concurrent-To", main)
                 ask = _record("request", record_id(page, digest, n, "request"), [*place, joined, ("Content-Type", "application/http; msgtype=request")], b"GET / HTTP/1.1\r\n\r\n")
-                fields = [("page-id", page), ("payload-bytes", len(payload)), ("refers-to-page-id", target if revisits else None)]
+                fields = [("page-id", page)]
                 note = _record("metadata", record_id(page, digest, n, "metadata"), [joined, ("Content-Type", "application/warc-fields")], "".join(f"{a}: {x}{CRLF}" for a, x in fields if x is not None).encode())
                 yield pa.RecordBatch.from_arrays([pa.array([ask, own, note], pa.binary())], names=["value"])
 
@@ -170,24 +170,33 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: capture, request, response, revisit and metadata records."""
+    """One nested row per capture: its response or revisit record, and all its request and metadata records."""
     key = F.when(F.col("kind").isin("response", "revisit"), F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id"))
-    whole = F.struct(*[c for c in records.columns if c != "kind"])
-    return records.withColumn("capture", key).groupBy("capture").agg(*[F.first(F.when(F.col("kind") == k, whole), ignorenulls=True).alias(k) for k in ("request", "response", "revisit", "metadata")])
+    whole = F.struct("record_id", *[c for c in records.columns if c not in ("kind", "record_id")])
+    one = [F.first(F.when(F.col("kind") == k, whole), ignorenulls=True).alias(k) for k in ("response", "revisit")]
+    many = [F.collect_list(F.when(F.col("kind") == k, whole)).alias(k) for k in ("request", "metadata")]
+    return records.withColumn("capture", key).groupBy("capture").agg(*one, *many)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write all pages as archives in the shared folder, read them back, and give one row per capture."""
+    """Write all pages as archives in the shared folder, read them back, and give one row per capture.
+
+    What a revisit refers to, and the size of its payload, are read through its WARC-Refers-To from that response."""
     spark = pages.sparkSession
     path = f"{workspace(spark)}/warc-{uuid.uuid4().hex}"
     write(captures(pages, min_bytes), path)
-    got = assemble(read(spark, path))
-    note = F.col("metadata.fields")
-    return got.select(
-        note["page-id"].cast("long").alias("page_id"),
+    named = F.transform(F.filter("metadata", lambda m: m["fields"]["page-id"].isNotNull()), lambda m: m["fields"]["page-id"].cast("long"))
+    got = assemble(read(spark, path)).select(
+        "capture",
+        F.get(named, F.lit(0)).alias("page_id"),
         F.coalesce("response.target_uri", "revisit.target_uri").alias("url"),
-        F.coalesce("response.block_bytes", note["payload-bytes"].cast("long")).alias("payload_bytes"),
+        F.col("response.block_bytes").alias("payload_bytes"),
         F.coalesce("response.block_digest", "revisit.payload_digest").alias("payload_digest"),
         F.when(F.col("response").isNotNull(), F.lit("response")).otherwise(F.lit("revisit")).alias("record_type"),
-        note["refers-to-page-id"].cast("long").alias("refers_to"),
+        F.col("revisit.refers_to").alias("response_id"),
     )
+    got = written(got, "captures")
+    wanted = got.filter("response_id is not null").select(F.col("response_id").alias("capture")).distinct()
+    origin = got.filter("record_type = 'response'").join(wanted, "capture", "left_semi").select(F.col("capture").alias("response_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("size"))
+    origin = written(origin, "revisited")  # written apart, so that a response which a third of all rows revisit can be split
+    return got.join(origin, "response_id", "left").select("page_id", "url", F.coalesce("payload_bytes", "size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

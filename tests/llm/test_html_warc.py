@@ -157,6 +157,13 @@ def test_assembly_nests_each_capture(spark, tmp_path):
     rows = W.assemble(W.read(spark, f"file://{tmp_path}/a", with_payload=True)).collect()
     assert len(rows) == 3
     for r in rows:
-        assert r.request.concurrent_to == r.metadata.concurrent_to == r.capture and (r.response is None) != (r.revisit is None)
+        assert [x.concurrent_to for x in r.request] == [x.concurrent_to for x in r.metadata] == [r.capture] and (r.response is None) != (r.revisit is None)
     assert {bytes(r.response.payload).decode() for r in rows if r.response} == {PAGES[1][2], PAGES[2][2]}
     assert W.round_trip(df.filter(F.lit(False))).count() == 0
+
+
+def test_assembly_loses_no_record_of_a_capture(spark):
+    rows = [("response", "r1", None), ("request", "q1", "r1"), ("request", "q2", "r1"), ("metadata", "m1", "r1"), ("metadata", "m2", "r1"), ("metadata", "m3", "r1"), ("metadata", "lone", None)]
+    got = {r.capture: r for r in W.assemble(spark.createDataFrame(rows, "kind string, record_id string, concurrent_to string")).collect()}
+    assert sorted(x.record_id for x in got["r1"].request) == ["q1", "q2"] and sorted(x.record_id for x in got["r1"].metadata) == ["m1", "m2", "m3"]
+    assert got["r1"].response.record_id == "r1" and got["lone"].response is None and [x.record_id for x in got["lone"].metadata] == ["lone"]

@@ -1,12 +1,16 @@
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from attestry.llm import hashing
 from attestry.llm import quality as Q
 from attestry.llm import toxicity as T
+from attestry.llm.common import text_buffer
 
 DATA = "/root/testdata/sf0.01"
 
@@ -112,3 +116,59 @@ def test_index_vectors_come_from_neighbours(spark):
         near = source[1 + step] + (Q.BUCKETS if source is shape else 0)
         np.add.at(want, Q._AT[near], Q._SIGN[near])
     assert np.allclose(table[word[1]], want) and list(n) == [5, 4, 5] and list(np.diff(rows)) == [3]
+
+
+def test_word_vectors_and_pooling_equal_brute_force(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["alpha", "Beta,", "GAMMA", "x1!!", "d"]) for _ in range(rng.randrange(0, 12))) for _ in range(25)] + [None, ""]
+    sums, counts = np.zeros((Q.BUCKETS, Q.WIDTH)), np.zeros(Q.BUCKETS)
+    index = lambda i: sum(np.eye(Q.WIDTH)[Q._AT[i, k]] * Q._SIGN[i, k] for k in range(2))
+    for t in texts:
+        word, shape, _, _ = Q._tokens(pa.array([t], pa.string()))
+        for i, w in enumerate(word):
+            counts[w] += 1
+            sums[w] += index(Q.BUCKETS + shape[i])
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(word):
+                    sums[w] += index(Q.BUCKETS + shape[j]) + index(word[j])
+    got = Q.vectors(spark.createDataFrame([(t,) for t in texts], "text string"))
+    want = sums / np.maximum(counts[:, None], 1)
+    assert np.allclose(got, want, atol=1e-6)
+    pooled = Q.pooled(pa.array(texts, pa.string()), got)
+    for t, row in zip(texts, pooled, strict=True):
+        word, _, n, _ = Q._tokens(pa.array([t], pa.string()))
+        v = want[word]
+        assert np.allclose(row[: Q.WIDTH], v.mean(0) if len(v) else 0, atol=1e-4) and np.allclose(row[Q.WIDTH : 2 * Q.WIDTH], v.std(0) if len(v) else 0, atol=2e-3)
+        if len(v):
+            assert np.isclose(row[2 * Q.WIDTH], np.log1p(len(v)), atol=1e-5) and np.isclose(row[2 * Q.WIDTH + 3], n.mean() / 10, atol=1e-5)
+
+
+def test_network_equals_its_formula():
+    rng = np.random.default_rng(1)
+    table = rng.normal(size=(Q.BUCKETS, Q.WIDTH)).astype(np.float32)
+    d = 2 * Q.WIDTH + 5
+    net = Q.Network(table, rng.normal(size=d), rng.uniform(1, 2, d), [rng.normal(size=(d, 3)), rng.normal(size=3), rng.normal(size=(3, 1)), rng.normal(size=1)], temperature=1.7)
+    texts = pa.array(["one two Two", "", None, "a " * 500])
+    for x, s in zip(Q.pooled(texts, table), net.scores(texts), strict=True):
+        hidden = [math.tanh(sum((x[i] - net.mean[i]) / net.scale[i] * net.weights[0][i, k] for i in range(d)) + net.weights[1][k]) for k in range(3)]
+        logit = (sum(h * net.weights[2][k, 0] for k, h in enumerate(hidden)) + net.weights[3][0]) / net.temperature
+        assert abs(1 / (1 + math.exp(-logit)) - s) < 1e-6
+
+
+def test_scores_of_toxicity_equal_brute_force(spark):
+    """Each distinct lexicon word, as written or restored by a Viterbi search over all readings, weighs once."""
+    texts = ["you idiot", "an 1d1ot here", "nice day", "idiot idiot", "", None, "i d i o t", "nice idiots"]
+    words = [hashing.word_hashes(*text_buffer(pa.array([w])), T.BREAK)[0][0] for w in ("idiot", "nice")]
+    order = np.argsort(words)
+    model = T.Model(T.language_model(spark.createDataFrame([("you idiot nice day here idiot",)] * 50, "text string"), "text"))
+    model.base = 0.1
+    model.entries = {0: (np.array(words)[order], np.array([-2.0, -0.5])[order])}
+    got = T.scores(pa.array(texts, pa.string()), model)
+    for text, score in zip(texts, got, strict=True):
+        raw, off = text_buffer(pa.array([(text or "").lower()]))
+        seen = set(re.findall(r"\w+", (text or "").lower()))
+        for _, token in T.suspects(raw, off):
+            seen |= {w for r in T.restore(token.strip(), model.logp) for w in re.findall(r"\w+", r)}
+        total = -2.0 * ("idiot" in seen) - 0.5 * ("nice" in seen)
+        assert abs(score - (1 - 0.9 * math.exp(total) if total else 0.1)) < 1e-9, text
+    assert got[1] == got[0] == got[3] and got[4] == got[5] == 0.1
