@@ -4,9 +4,13 @@ containment(child, parent, pos): one row for each place of a child in a parent's
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import written
+
 
 def explode_paths(paths: DataFrame, parent: str = "parent", path: str = "path") -> DataFrame:
     return paths.select(F.col(parent).alias("parent"), F.posexplode(path).alias("pos", "child"))
@@ -17,6 +21,13 @@ def holder_counts(containment: DataFrame) -> DataFrame:
     return containment.groupBy("child").agg(F.count_distinct("parent").alias("holders"), F.count("*").alias("occurrences"))
 
 
+def path_holder_counts(paths: DataFrame, path: str = "path") -> DataFrame:
+    """holder_counts() of paths: each row counts its own distinct words, so that counts fold before their one shuffle."""
+    marks = F.concat(F.transform(path, lambda w: F.struct(w.alias("child"), F.lit(0).alias("h"))), F.transform(F.array_distinct(path), lambda w: F.struct(w.alias("child"), F.lit(1).alias("h"))))
+    each = paths.select(F.explode(marks).alias("m")).select("m.child", "m.h").groupBy("child")
+    return each.agg(F.sum(F.col("h").cast("long")).alias("holders"), F.count_if(F.col("h") == 0).alias("occurrences"))
+
+
 def endpoints(paths: DataFrame, parent: str = "parent", path: str = "path") -> DataFrame:
     p = F.col(path)
     return paths.filter(F.size(p) > 0).select(F.col(parent).alias("parent"), F.element_at(p, 1).alias("first"), F.element_at(p, -1).alias("last"), F.size(p).alias("length"))
@@ -52,31 +63,39 @@ def held_times(containment: DataFrame) -> DataFrame:
     return containment.groupBy("child", "parent").agg(F.count("*").alias("times"))
 
 
-def multiplicity(edges: DataFrame, roots: DataFrame, rounds: int) -> DataFrame:
+def multiplicity(edges: DataFrame, roots: DataFrame, rounds: int | None = None) -> DataFrame:
     """Occurrences of every node in a DAG: a root occurs once, a node once per occurrence of a parent and time held.
 
-    edges(child, parent, times), roots(node, occ). A path is followed for at most this many steps."""
-    level = total = roots.select("node", F.col("occ").cast("long").alias("occ"))
-    for _ in range(rounds):
-        level = edges.join(level, edges.parent == level.node).groupBy(F.col("child").alias("node")).agg(F.sum(F.col("occ") * F.col("times")).alias("occ"))
-        total = total.unionByName(level)
-    return total.groupBy("node").agg(F.sum("occ").alias("occ"))
-
-
-def closure(spark, edges: DataFrame, keys: DataFrame, levels: int = 128) -> DataFrame:
-    """Upward closure with the keys that reach each node. edges(child, parent), keys(key) -> (key, node, depth)."""
-    edges.createOrReplaceTempView("__edges")
-    keys.createOrReplaceTempView("__keys")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE up(key, node, depth) MAX RECURSION LEVEL {levels} AS (
-          SELECT key, key, 0 FROM __keys
-          UNION ALL
-          SELECT u.key, e.parent, u.depth + 1 FROM up u JOIN __edges e ON e.child = u.node
-        )
-        SELECT key, node, min(depth) AS depth FROM up GROUP BY key, node
-        """
-    )
+    edges(child, parent, times), roots(node, occ). A path is followed to its end, or for at most so many steps. Every
+    level is written, so that no round is computed again for the next."""
+    level = roots.select("node", F.col("occ").cast("long").alias("occ"))
+    levels = [level]
+    while rounds is None or len(levels) <= rounds:
+        down = edges.join(level, edges.parent == level.node).groupBy(F.col("child").alias("node")).agg(F.sum(F.col("occ") * F.col("times")).alias("occ"))
+        level = written(down, "level")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels).groupBy("node").agg(F.sum("occ").alias("occ"))
+
+
+def closure(edges: DataFrame, keys: DataFrame, levels: int | None = None) -> DataFrame:
+    """Upward closure with the keys that reach each node. edges(child, parent), keys(key) -> (key, node, depth).
+
+    A frontier goes up one level at a time and leaves what is already known, so a node is reached once per key however
+    many paths lead to it, and cycles end. levels: how far up at most; None: to the end."""
+    edges = written(edges.select("child", "parent").distinct(), "edges")
+    frontier = written(keys.select("key", F.col("key").alias("node"), F.lit(0).alias("depth")).distinct(), "frontier")
+    known = frontier
+    reached = [frontier]
+    while levels is None or len(reached) <= levels:
+        step = frontier.join(edges, edges.child == frontier.node).select("key", F.col("parent").alias("node")).distinct()
+        frontier = written(step.join(known, ["key", "node"], "left_anti").withColumn("depth", F.lit(len(reached))), "frontier")
+        if frontier.isEmpty():
+            break
+        reached.append(frontier)
+        known = reduce(DataFrame.unionByName, reached)
+    return known
 
 
 def common_unit(reached: DataFrame, group: str, size: int) -> DataFrame:

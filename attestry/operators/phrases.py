@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import UNIT, words
+from ..sources.work import written
+from .containment import path_holder_counts
 
 
 def word_paths(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -24,27 +26,54 @@ def ngrams(paths: DataFrame, n: int) -> DataFrame:
 
 
 def segments_forward(paths: DataFrame, prompts: DataFrame, longest: int) -> DataFrame:
-    """What follows every segment of the prompts, by length: (segment, n, next, times)."""
-    out = None
-    for n in range(1, longest + 1):
-        wanted = ngrams(prompts, n).select("segment").distinct()
-        hits = ngrams(paths, n).filter("next is not null").join(wanted, "segment").groupBy("segment", "next").agg(F.count("*").alias("times")).withColumn("n", F.lit(n))
-        out = hits if out is None else out.unionByName(hits)
-    return out
-
-
-def follows_suffix(paths: DataFrame, prompts: DataFrame, longest: int) -> DataFrame:
-    """Per prompt the continuation of its longest suffix seen: most times first, then the word. (prompt, n, next, times)"""
-    out = None
-    p = F.col("path")
-    for n in range(1, longest + 1):
-        ends = prompts.filter(F.size("path") >= n).select(F.col("parent").alias("prompt"), F.array_join(F.slice(p, -n, n), " ").alias("segment"))
-        need = ends.select("segment").distinct()
-        seen = ngrams(paths, n).filter("next is not null").join(need, "segment").groupBy("segment", "next").agg(F.count("*").alias("times"))
-        hits = ends.join(seen, "segment").select("prompt", F.lit(n).alias("n"), "next", "times")
-        out = hits if out is None else out.unionByName(hits)
-    w = Window.partitionBy("prompt").orderBy(F.col("n").desc(), F.col("times").desc(), "next")
-    return out.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
+    """What follows every segment of the prompts of at most so many words: (segment, n, next, times).
+
+    One pass over the paths and one shuffle of folded counts, whatever the number of lengths."""
+    wanted = ngrams_to(prompts, longest).select("n", "segment").distinct()
+    hits = ngrams_to(paths, longest).filter("next is not null").join(wanted, ["n", "segment"], "left_semi")
+    return hits.groupBy("segment", "n", "next").agg(F.count("*").alias("times"))
+
+
+def ngrams_to(paths: DataFrame, longest: int) -> DataFrame:
+    """(parent, n, pos, segment, next) of every run of 1 to longest words."""
+    p, size = F.col("path"), F.size("path")
+    whole = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.lit(longest)),
+            lambda n: F.when(
+                n <= size,
+                F.transform(F.sequence(F.lit(0), size - n), lambda i: F.struct(n.alias("n"), i.alias("pos"), F.array_join(F.slice(p, i + 1, n), " ").alias("segment"), F.get(p, i + n).alias("next"))),
+            ).otherwise(F.array().cast("array<struct<n:int,pos:int,segment:string,next:string>>")),
+        )
+    )
+    return paths.filter(size > 0).select("parent", F.explode(whole).alias("g")).select("parent", "g.n", "g.pos", "g.segment", "g.next")
+
+
+#: Last words of prompts that are sent along as a filter; with more of them every place is joined.
+LAST_WORDS = 10_000
+
+
+def follows_suffix(paths: DataFrame, prompts: DataFrame, longest: int = 24) -> DataFrame:
+    """Per prompt the continuation of its longest suffix seen, up to so many words: most times first, then the word.
+    (prompt, n, next, times)
+
+    Every suffix ends in the prompt's last word, so the paths' places of such words are compared backwards with the
+    prompts that end in them: one pass gives the longest common suffix, and the places that reach a prompt's longest
+    are its counts."""
+    p, q = F.col("path"), F.col("tail")
+    ends = prompts.filter(F.size("path") > 0).select(F.col("parent").alias("prompt"), F.element_at("path", -1).alias("word"), F.reverse(F.slice("path", F.greatest(F.lit(1), F.size("path") - longest + 1), F.lit(longest))).alias("tail"))
+    last = [r["word"] for r in ends.select("word").distinct().limit(LAST_WORDS + 1).collect()]
+    places = F.sequence(F.lit(1), F.size(p) - 1)
+    if len(last) <= LAST_WORDS:
+        places = F.filter(places, lambda i: F.get(p, i - 1).isin(last))
+    seen = F.transform(places, lambda i: F.struct(F.get(p, i - 1).alias("word"), F.reverse(F.slice(p, F.greatest(F.lit(1), i - longest + 1), F.least(i, F.lit(longest)))).alias("back"), F.get(p, i).alias("next")))
+    rows = paths.filter(F.size(p) > 1).select(F.explode(seen).alias("s")).select("s.*")
+    rows = rows.groupBy("word", "back", "next").agg(F.count("*").alias("times"))  # equal contexts meet the prompts once
+    differ = F.array_position(F.zip_with("back", q, lambda a, b: F.coalesce(a == b, F.lit(False))), F.lit(False))
+    hits = rows.join(ends, "word").select("prompt", F.when(differ == 0, F.size("back")).otherwise(differ - 1).cast("int").alias("n"), "next", "times")
+    counts = hits.groupBy("prompt", "n", "next").agg(F.sum("times").alias("times"))
+    first = F.min_by(F.struct("n", "next", "times"), F.struct(-F.col("n"), -F.col("times"), "next"))
+    return counts.groupBy("prompt").agg(first.alias("f")).select("prompt", "f.n", "f.next", "f.times")
 
 
 def fills(paths: DataFrame, occurrences: DataFrame, phrases: DataFrame, n: int) -> DataFrame:
@@ -58,52 +87,59 @@ def fills(paths: DataFrame, occurrences: DataFrame, phrases: DataFrame, n: int)
 def salience(paths: DataFrame) -> DataFrame:
     """Per word: df over paths, occurrences, paths in all, information in bits."""
     total = paths.agg(F.count("*").alias("total"))
-    per = paths.select("parent", F.explode("path").alias("word")).groupBy("word").agg(F.count_distinct("parent").alias("df"), F.count("*").alias("occurrences"))
+    per = path_holder_counts(paths).select(F.col("child").alias("word"), F.col("holders").alias("df"), "occurrences")
     return per.crossJoin(F.broadcast(total)).withColumn("info_bits", F.log2((F.col("total") + 1) / (F.col("df") + 1)))  # one row
 
 
 def adjacent(paths: DataFrame) -> DataFrame:
-    """Words beside words, once per path: (word, beside, paths)."""
+    """Words beside words, and words alone (beside null), once per path: (word, beside, paths).
+
+    A path's own distinct set is made inside its row, as joined text, so that plain counts fold before their one shuffle."""
     p = F.col("path")
-    pairs = F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: F.struct(F.get(p, i).alias("a"), F.get(p, i + 1).alias("b")))
-    once = paths.filter(F.size("path") >= 2).select("parent", F.explode(F.array_distinct(pairs)).alias("x")).select("parent", "x.a", "x.b")
-    both = once.select(F.col("a").alias("word"), F.col("b").alias("beside"), "parent").unionByName(once.select(F.col("b").alias("word"), F.col("a").alias("beside"), "parent"))
-    return both.groupBy("word", "beside").agg(F.count_distinct("parent").alias("paths"))
+    after = F.slice(p, F.lit(2), F.size(p))
+    before = F.slice(p, F.lit(1), F.size(p) - 1)
+    pairs = F.concat(F.zip_with(before, after, lambda a, b: F.concat(a, F.lit(UNIT), b)), F.zip_with(before, after, lambda a, b: F.concat(b, F.lit(UNIT), a)), p)
+    once = paths.filter(F.size(p) > 0).select(F.explode(F.array_distinct(pairs)).alias("k")).groupBy("k").agg(F.count("*").alias("paths"))
+    cut = F.split("k", UNIT)
+    return once.select(F.get(cut, F.lit(0)).alias("word"), F.get(cut, F.lit(1)).alias("beside"), "paths")
 
 
 def lift(paths: DataFrame, least: int = 2, times: float = 2.0) -> DataFrame:
     """Pairs observed beside one another at least so often, and so many times their base rate."""
     total = paths.agg(F.count("*").alias("total"))
-    df = paths.select("parent", F.explode(F.array_distinct("path")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    near = adjacent(paths).filter(F.col("paths") >= least)
+    counts = written(adjacent(paths), "adjacent")
+    df = counts.filter("beside is null").select("word", F.col("paths").alias("df"))
+    near = counts.filter((F.col("paths") >= least) & F.col("beside").isNotNull())
     rows = near.join(df, "word").join(df.select(F.col("word").alias("beside"), F.col("df").alias("beside_df")), "beside").crossJoin(F.broadcast(total))  # one row
     rows = rows.withColumn("lift", (F.col("paths") / F.col("df")) / (F.col("beside_df") / F.col("total")))
     return rows.filter(F.col("lift") >= times).select("word", "beside", "paths", "lift")
 
 
 def content_chunks(paths: DataFrame, bits: int = 4) -> DataFrame:
-    """Content-defined chunking: a path is cut after each word whose hash ends in so many zero hex digits' worth of bits.
+    """Content-defined chunking: a path is cut after each word whose hash ends in so many zero bits.
 
-    (parent, chunk, start, length, id); the same content is cut alike wherever it stands."""
+    (parent, chunk, start, length, id); the same content is cut alike wherever it stands. Paths are cut inside their
+    rows: nothing is shuffled."""
     hexes = -(-bits // 4)
     mask = (1 << bits) - 1
-    rows = paths.select("parent", F.posexplode("path").alias("pos", "word"))
-    cut = (F.conv(F.substring(F.sha2("word", 256), 65 - hexes, hexes), 16, 10).cast("long").bitwiseAND(F.lit(mask)) == 0).cast("int")
-    before = F.sum("cut").over(Window.partitionBy("parent").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("cut", cut).withColumn("chunk", F.coalesce(before, F.lit(0)))
-    held = rows.groupBy("parent", "chunk").agg(F.min("pos").alias("start"), F.count("*").alias("length"), F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("w"))
-    return held.select("parent", "chunk", "start", "length", F.substring(F.sha2(F.array_join("w.word", UNIT), 256), 1, 32).alias("id"))
+    p = F.col("path")
+    ends = lambda w: F.conv(F.substring(F.sha2(w, 256), 65 - hexes, hexes), 16, 10).cast("long").bitwiseAND(F.lit(mask)) == 0
+    starts = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | ends(F.get(p, i - 1)))
+    rows = paths.filter(F.size(p) > 0).select("parent", "path", starts.alias("s"))
+    length = lambda x, k: F.coalesce(F.get("s", k + 1), F.size(p)) - x
+    held = F.transform("s", lambda x, k: F.struct(k.cast("long").alias("chunk"), x.alias("start"), length(x, k).cast("long").alias("length"), F.substring(F.sha2(F.array_join(F.slice(p, x + 1, length(x, k)), UNIT), 256), 1, 32).alias("id")))
+    return rows.select("parent", F.explode(held).alias("c")).select("parent", "c.*")
 
 
 def polarity(paths: DataFrame, negations: list[str], stops: list[str], reach: int = 3) -> DataFrame:
     """Words within reach after a negation, and the negation itself, up to a stop: (parent, pos, word, negated).
 
-    paths are of words and marks."""
-    rows = paths.select("parent", F.posexplode("path").alias("pos", "word"))
-    w = Window.partitionBy("parent").orderBy("pos")
-    is_neg, is_stop = F.col("word").isin(negations), F.col("word").isin(stops)
-    seen_neg = F.max(F.when(is_neg, F.col("pos"))).over(w)
-    seen_stop = F.max(F.when(is_stop, F.col("pos"))).over(w)
-    rows = rows.withColumn("neg", seen_neg).withColumn("stop", seen_stop)
-    open_ = F.col("neg").isNotNull() & (F.coalesce("stop", F.lit(-1)) < F.col("neg")) & (F.col("pos") - F.col("neg") <= reach)
-    return rows.select("parent", "pos", "word", F.coalesce(open_, F.lit(False)).alias("negated"))
+    paths are of words and marks; each is read inside its row: nothing is shuffled."""
+    p = F.col("path")
+
+    def negated(i):
+        back = lambda j: F.get(p, i - j).isin(negations) & ~F.exists(F.slice(p, i - j + 1, j + 1), lambda w: w.isin(stops))
+        return F.exists(F.sequence(F.lit(0), F.lit(reach)), lambda j: F.when(j <= i, back(j)).otherwise(F.lit(False)))
+
+    rows = F.transform(p, lambda w, i: F.struct(i.alias("pos"), w.alias("word"), F.coalesce(negated(i), F.lit(False)).alias("negated")))
+    return paths.select("parent", F.explode(rows).alias("r")).select("parent", "r.*")

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import written
+
 
 def freeze(names: DataFrame, frozen: DataFrame | None = None) -> DataFrame:
     """(list, key, slot): known keys keep their slot, new ones follow in key order."""
@@ -21,17 +23,16 @@ def freeze(names: DataFrame, frozen: DataFrame | None = None) -> DataFrame:
     return known.unionByName(added)
 
 
-def with_aliases(slots: DataFrame, aliases: DataFrame, rounds: int = 16) -> DataFrame:
+def with_aliases(slots: DataFrame, aliases: DataFrame) -> DataFrame:
     """Keys and their aliases' slots, to the fixpoint. aliases(list, alias, key): alias is another name of key."""
-    known = slots
+    known = frontier = slots
     pending = aliases.select("list", F.col("alias"), "key")
-    for _ in range(rounds):
-        found = pending.join(known, ["list", "key"]).select("list", F.col("alias").alias("key"), "slot")
-        fresh = found.join(known.select("list", "key"), ["list", "key"], "left_anti").distinct()
-        if fresh.isEmpty():
-            break
-        known = known.unionByName(fresh)
-    return known
+    while True:
+        found = pending.join(frontier, ["list", "key"]).select("list", F.col("alias").alias("key"), "slot")
+        frontier = written(found.join(known.select("list", "key"), ["list", "key"], "left_anti").distinct(), "aliases")
+        if frontier.isEmpty():
+            return known
+        known = known.unionByName(frontier)
 
 
 def edges_both_ways(pairs: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +15,7 @@ from .operators import fold, graph, keys, phrases, shape
 from .plans import recipe as recipes
 from .plans import tables as T
 from .plans.tables import table
+from .sources.work import workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -324,13 +324,13 @@ def chain_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
     r AS (SELECT a.lemma AS word, a.language AS "from", a.concept, b.language AS "to", b.lemma AS translation, b.uses,
             row_number() OVER (PARTITION BY a.lemma, a.language, a.concept, b.language ORDER BY b.uses DESC, b.conf DESC, b.lemma) AS rank
           FROM lex a JOIN lex b ON a.concept = b.concept AND a.language <> b.language)
-    SELECT word, "from", concept, "to", translation, CAST(rank AS INT) AS rank FROM r WHERE rank <= 1"""
+    SELECT word, "from", concept, "to", translation, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8"""
 )
 def translate_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of one brand to names of another through the type they share."""
     lex = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("lemma"), F.col("p_brand").alias("language"), F.col("p_type").alias("concept")).agg(F.count("*").alias("uses"), F.min("p_size").alias("conf"))
     same = spark.createDataFrame([], "a string, b string")
-    return C.translate(lex, same, 1).select("word", "from", "concept", "to", "translation", "rank")
+    return C.translate(lex, same, 8).select("word", "from", "concept", "to", "translation", "rank")
 
 
 @register(
@@ -355,7 +355,7 @@ def _document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH {_words_sql()} SELECT word AS child, count(DISTINCT parent) AS holders, count(*) AS occurrences FROM w GROUP BY word")
 def holder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.holder_counts(_document_words(spark, sf_dir))
+    return K.path_holder_counts(T.document_paths(spark, sf_dir))
 
 
 @register(
@@ -418,7 +418,7 @@ def _place_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def closure_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _place_edges(spark, sf_dir)
-    return K.closure(spark, edges, edges.filter("child like 'supplier:%'").select(F.col("child").alias("key")).distinct(), 16)
+    return K.closure(edges, edges.filter("child like 'supplier:%'").select(F.col("child").alias("key")).distinct())
 
 
 @register(
@@ -432,7 +432,7 @@ def held_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _place_edges(spark, sf_dir)
     both = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("c_custkey"))
     pairs = both.select(F.col("c_custkey").alias("g"), F.explode(F.array(T.entity("customer", "c_custkey"), T.entity("supplier", "s_suppkey"))).alias("key"))
-    reached = K.closure(spark, edges, pairs.select("key").distinct(), 16).join(pairs, "key")
+    reached = K.closure(edges, pairs.select("key").distinct()).join(pairs, "key")
     return K.common_unit(reached, "g", 2)
 
 
@@ -451,7 +451,7 @@ def dag_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.unionByName(s.select(T.entity("supplier", "s_suppkey").alias("child"), T.entity("nation", "s_nationkey").alias("parent"), one))
     e = e.unionByName(li.groupBy(T.entity("part", "l_partkey").alias("child"), T.entity("supplier", "l_suppkey").alias("parent")).agg(F.count("*").alias("times")))
     roots = table(spark, sf_dir, "region").select(T.entity("region", "r_regionkey").alias("node"), F.lit(1).alias("occ"))
-    return K.multiplicity(e, roots, 3)
+    return K.multiplicity(e, roots)
 
 
 # ---------------------------------------------------------------- text
@@ -477,16 +477,14 @@ def segments_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {_words_sql()}, {_B}, {_grams_sql(1, "w", "g1")}, {_grams_sql(2, "w", "g2")}, {_grams_sql(3, "w", "g3")}, m AS (SELECT parent, max(pos) AS last FROM b GROUP BY parent),
-    s AS (SELECT m.parent, 1 AS n, x.word AS segment FROM m JOIN b x ON x.parent = m.parent AND x.pos = m.last
-      UNION ALL SELECT m.parent, 2, x.word || ' ' || y.word FROM m JOIN b x ON x.parent = m.parent AND x.pos = m.last - 1 JOIN b y ON y.parent = m.parent AND y.pos = m.last
-      UNION ALL SELECT m.parent, 3, x.word || ' ' || y.word || ' ' || z.word FROM m JOIN b x ON x.parent = m.parent AND x.pos = m.last - 2 JOIN b y ON y.parent = m.parent AND y.pos = m.last - 1 JOIN b z ON z.parent = m.parent AND z.pos = m.last),
-    g AS (SELECT segment, next, 1 AS n FROM g1 UNION ALL SELECT segment, next, 2 FROM g2 UNION ALL SELECT segment, next, 3 FROM g3),
-    h AS (SELECT s.parent AS prompt, s.n, g.next, count(*) AS times FROM s JOIN g ON g.segment = s.segment AND g.n = s.n WHERE g.next IS NOT NULL GROUP BY 1, 2, 3),
-    r AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY n DESC, times DESC, next) AS r FROM h) SELECT prompt, n, next, times FROM r WHERE r = 1"""
+    """WITH p AS (SELECT item_id AS prompt, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{Nd}]+') AS q FROM benchmark), d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{Nd}]+') AS p FROM documents),
+    x AS (SELECT doc_id, unnest(range(1, len(p))) AS i FROM d), e AS (SELECT doc_id, i, p[i] AS word, p[i + 1] AS next, p[greatest(1, i - 23):i] AS back FROM x JOIN d USING (doc_id)),
+    h AS (SELECT prompt, next, list_max(list_filter(range(1, 25), lambda k: k <= len(back) AND k <= len(q) AND back[len(back) - k + 1:] = q[len(q) - k + 1:])) AS n FROM p JOIN e ON e.word = q[len(q)]),
+    g AS (SELECT prompt, CAST(n AS INT) AS n, next, count(*) AS times FROM h GROUP BY 1, 2, 3),
+    r AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY n DESC, times DESC, next) AS r FROM g) SELECT prompt, n, next, times FROM r WHERE r = 1"""
 )
 def follows_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrases.follows_suffix(T.document_paths(spark, sf_dir), T.benchmark_paths(spark, sf_dir), 3)
+    return phrases.follows_suffix(T.document_paths(spark, sf_dir), T.benchmark_paths(spark, sf_dir), 24)
 
 
 @register(
@@ -507,8 +505,11 @@ def salience_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {_words_sql()}, {_grams_sql(1, "w", "g")}, o AS (SELECT DISTINCT parent, segment AS a, next AS b FROM g WHERE next IS NOT NULL), p AS (SELECT parent, a AS word, b AS beside FROM o UNION SELECT parent, b, a FROM o),
-    c AS (SELECT word, beside, count(*) AS paths FROM p GROUP BY word, beside HAVING count(*) >= 3), d AS (SELECT word, count(DISTINCT parent) AS df FROM w GROUP BY word), n AS (SELECT count(*) AS total FROM documents)
+    """WITH p AS MATERIALIZED (SELECT regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{Nd}]+') AS p FROM documents),
+    d AS MATERIALIZED (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(p)) AS word FROM p) GROUP BY word),
+    b AS (SELECT list_transform(range(1, len(p)), lambda i: p[i] || chr(31) || p[i + 1]) AS f, list_transform(range(1, len(p)), lambda i: p[i + 1] || chr(31) || p[i]) AS g FROM p WHERE len(p) > 1),
+    k AS (SELECT unnest(list_distinct(list_concat(f, g))) AS k FROM b),
+    c AS MATERIALIZED (SELECT split_part(k, chr(31), 1) AS word, split_part(k, chr(31), 2) AS beside, count(*) AS paths FROM k GROUP BY k HAVING count(*) >= 3), n AS (SELECT count(*) AS total FROM documents)
     SELECT c.word, beside, paths, round((paths / x.df) / (y.df / total), 6) AS lift FROM c JOIN d x ON x.word = c.word JOIN d y ON y.word = beside, n WHERE (paths / x.df) / (y.df / total) >= 2.0"""
 )
 def cooccur_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -545,11 +546,14 @@ def runs_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", text.alias("path"), F.size(expand_runs(F.col("p"))).alias("length"))
 
 
-@register("SELECT CAST(range AS BIGINT) AS cp, substr(sha256(chr(CAST(range AS INT))), 1, 32) AS id FROM range(32, 55296)")
+@register("SELECT CAST(range AS BIGINT) AS cp, substr(sha256(chr(CAST(range AS INT))), 1, 32) AS id FROM range(0, 1114112) WHERE range NOT BETWEEN 55296 AND 57343")
 def codepoint_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of the code points below the surrogates."""
-    text = F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE")
-    return spark.range(32, 55296).select(F.col("id").alias("cp"), content_id(text).alias("id"))
+    """Ids of all code points; surrogates are none."""
+    cp = F.col("id")
+    high, low = F.lit(0xD800) + F.shiftright(cp - 0x10000, 10), F.lit(0xDC00) + (cp - 0x10000) % 1024
+    units = F.when(cp < 0x10000, F.lpad(F.hex(cp), 4, "0")).otherwise(F.concat(F.hex(high), F.hex(low)))
+    text = F.decode(F.unhex(units), "UTF-16BE")
+    return spark.range(0, 0x110000).filter("id not between 55296 and 57343").select(cp.alias("cp"), content_id(text).alias("id"))
 
 
 # ---------------------------------------------------------------- keys, statements, recipes
@@ -690,18 +694,18 @@ def session_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     f"""WITH RECURSIVE {_rated_sql(_PLACES, "places")}, e AS (SELECT s AS a, o AS b, 0.05 - ln(conf) AS c FROM rated UNION ALL SELECT o, s, 0.05 - ln(conf) FROM rated),
-    d AS (SELECT a FROM e GROUP BY a HAVING count(*) <= 200), f AS (SELECT e.* FROM e JOIN d USING (a)),
+    d AS (SELECT a FROM e GROUP BY a HAVING count(*) <= 4096), f AS (SELECT e.* FROM e JOIN d USING (a)),
     r(origin, node, hops, cost) AS (SELECT 'region:' || r_regionkey, 'region:' || r_regionkey, 0, 0.0::DOUBLE FROM region UNION ALL
       SELECT r.origin, f.b, r.hops + 1, r.cost + f.c FROM r JOIN f ON f.a = r.node WHERE r.hops < 3)
     SELECT origin, node, round(min(cost), 5) AS cost, round(exp(-(min(cost) - 0.05 * arg_min(hops, cost))), 5) AS conf FROM r GROUP BY origin, node"""
 )
 def degrees_fixed_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least chain cost from each region within three hops; nodes of more than 200 edges are reached, not crossed."""
+    """Least chain cost from each region within three hops; nodes of more than 4,096 edges are reached, not crossed."""
     from .plans.forward import edges
 
     ways = edges(T.rated(T.places(spark, sf_dir)))
     origins = table(spark, sf_dir, "region").select(T.entity("region", "r_regionkey").alias("node"))
-    got = graph.degrees(ways, origins, 3, 0.05, 200)
+    got = graph.degrees(ways, origins, 3, 0.05, 4096)
     return got.select("origin", "node", F.round("cost", 5).alias("cost"), F.round("conf", 5).alias("conf"))
 
 
@@ -760,10 +764,9 @@ def streamed_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions.core import rescale
     from .streaming import ingest
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="attestry-stream-")
     import uuid
 
-    place = f"{base}/stream-{uuid.uuid4().hex}"
+    place = f"{workspace(spark)}/stream-{uuid.uuid4().hex}"
 
     def observe(batch: DataFrame) -> DataFrame:
         parts = F.array(F.concat(F.lit("user:"), F.col("user_id").cast("string")), F.col("event_type"))
@@ -865,7 +868,7 @@ def closure_keymask(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the bit is the key of the closure: a group goes up once, however many customers it has
     first = edges.join(marks, edges.child == marks.key).select(F.col("bit").cast("string").alias("key"), F.col("parent").alias("node")).distinct()
     linked = first.select(F.col("key").alias("child"), F.col("node").alias("parent")).unionByName(edges.filter("child not like 'customer:%' and child not like 'supplier:%'"))
-    up = K.closure(spark, linked, first.select("key").distinct(), 16).filter("node <> key").select("node", F.col("key").cast("int").alias("bit"))
+    up = K.closure(linked, first.select("key").distinct()).filter("node <> key").select("node", F.col("key").cast("int").alias("bit"))
     both = up.unionByName(marks.select(F.col("key").alias("node"), "bit"))
     return both.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("keys"))
 

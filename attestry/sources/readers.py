@@ -120,7 +120,7 @@ def turtle(texts: DataFrame) -> DataFrame:
     blocks = texts.select(F.explode(F.regexp_extract_all(clean, F.lit(r'((?:"(?:[^"\\]|\\.)*"|<[^>]*>|[^."<]|\.(?=\S))+)\s*\.(?=\s|$)'), 1)).alias("b"))
     tokens = F.regexp_extract_all(F.trim("b"), F.lit(r'("(?:[^"\\]|\\.)*"(?:@[\w-]+|\^\^\S+)?|<[^>]*>|[;,]|[^\s;,]+)'), 1)
     rows = blocks.select(tokens.alias("t")).filter(F.size("t") >= 3)
-    rows = rows.select(F.get("t", F.lit(0)).alias("subject"), F.explode(F.split(F.array_join(F.slice("t", 2, 100_000), "\u0001"), "\u0001;\u0001?")).alias("po")).filter("po <> ''")
+    rows = rows.select(F.get("t", F.lit(0)).alias("subject"), F.explode(F.split(F.array_join(F.slice("t", F.lit(2), F.size("t")), "\u0001"), "\u0001;\u0001?")).alias("po")).filter("po <> ''")
     rows = rows.select("subject", F.substring_index("po", "\u0001", 1).alias("predicate"), F.explode(F.split(F.expr("substring(po, locate('\u0001', po) + 1)"), "\u0001,\u0001")).alias("o"))
     language = F.nullif(F.regexp_extract("o", r'"@([\w-]+)$', 1), F.lit(""))
     plain = F.regexp_replace(F.regexp_replace("o", r'^"(.*)"(?:@[\w-]+|\^\^\S+)?$', "$1"), r'\\(["\\])', "$1")
