@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over all cores if they come in fewer splits than that: a small file is one row group, read by one task.
+    What comes in many splits is left as it is."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < 2 * n else rows
+
+
 def entity(kind: str, column: str):
     return F.concat(F.lit(f"{kind}:"), F.col(column).cast("string"))
 
@@ -34,7 +41,7 @@ def _observed(rows: DataFrame, parts: list, witness, lineage, record, score, pos
 
 def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[part, supplied by, supplier], said by order lines: witness by line status, lineage by return flag."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linestatus", "l_returnflag", "l_orderkey", "l_quantity", "l_linenumber"))
     return _observed(
         li, [entity("part", "l_partkey"), F.lit("supplied by"), entity("supplier", "l_suppkey")], F.concat(F.lit("status "), "l_linestatus"), F.concat(F.lit("flag "), "l_returnflag"),
         F.col("l_orderkey"), rescale(F.col("l_quantity"), 1, 50), F.col("l_linenumber"),
@@ -78,7 +85,7 @@ def rated(observations: DataFrame, k: float = 2.0) -> DataFrame:
 
 
 def document_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return word_paths(table(spark, sf_dir, "documents"), "doc_id")
+    return word_paths(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
 def benchmark_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
