@@ -20,11 +20,13 @@ import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bits import bit_table, in_table
 from .common import bounded_batches, free_name, text_buffer, written
 
 
@@ -272,18 +274,24 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     index = build_index(rows)
     mark = free_name(docs, "__digest")
     schema = docs.schema
+    # texts stay where they are: a bit table of the digests of groups in which rows go, of bounded size, tells which rows
+    # surely stay; the others are looked up exactly
+    first = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
+    gone = rows.join(index, "digest").filter("not id <=> keep_id").select(F.col("digest").alias(f"{mark}k"), F.col("id").alias(f"{mark}i"), first.alias("h"))
+    lost = written(gone, "lost-digests")
+    again = written(index.filter("same > 1").select(F.col("digest").alias(f"{mark}k"), F.col("keep_id").alias(f"{mark}i"), first.alias("h")), "repeated-rows")
+    held = bit_table(lost.select("h").unionByName(again.select("h")), F.col("h"))
 
     def run(batches):
         for b in batches:
-            yield b.append_column(mark, _digest_column(b[text_col]))
+            digest = _digest_column(b[text_col])
+            heads = np.array([int.from_bytes(d[:8], "big", signed=True) for d in digest.to_pylist()], np.int64)
+            yield b.append_column(mark, digest).append_column(f"{mark}m", in_table(held, heads))
 
-    # texts stay where they are: only the digests of rows that go are sent to them
-    gone = rows.join(index, "digest").filter("not id <=> keep_id").select(F.col("digest").alias(f"{mark}k"), F.col("id").alias(f"{mark}i")).distinct()
-    lost = written(gone, "lost-digests")
-    marked = docs.mapInArrow(run, type(schema)(list(schema.fields)).add(mark, "binary"))
+    marked = docs.mapInArrow(run, type(schema)(list(schema.fields)).add(mark, "binary").add(f"{mark}m", "boolean"))
     own = (F.col(mark) == F.col(f"{mark}k")) & F.col(id_col).cast("long").eqNullSafe(F.col(f"{mark}i"))
-    kept = marked.join(lost, own, "left_anti")
-    again = index.filter("same > 1").select(F.col("digest").alias(f"{mark}k"), F.col("keep_id").alias(f"{mark}i"))
+    kept = marked.filter(f"{mark}m").join(lost.drop("h"), own, "left_anti")
     if not again.isEmpty():  # the very same row occurs again: one of them stays
-        kept = kept.join(again, own, "left_anti").unionByName(kept.join(again, own, "left_semi").dropDuplicates([id_col, mark]))
-    return kept.select(*docs.columns)
+        same = again.drop("h")
+        kept = kept.join(same, own, "left_anti").unionByName(kept.join(same, own, "left_semi").dropDuplicates([id_col, mark]))
+    return marked.filter(f"not {mark}m").unionByName(kept).select(*docs.columns)

@@ -31,29 +31,23 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bits import bit_table, in_table, power_of_two
 from .common import bounded_batches, free_name, text_buffer, written
 from .components import components
 from .hashing import LOWER, distinct_by_row, mix, shingles, word_hashes
 
-#: Least and greatest number of counters (a power of two: one for each 128 bytes of input), and bits a counted row of a
-#: bit table, whose 64-bit words are bounded likewise. Beyond the greatest size both only screen less.
+#: Least and greatest number of counters (a power of two: one for each KB of input).
 SKETCH = 1 << 21, 1 << 24
 CHUNKS = 32
-BITS_A_ROW = 16
-BLOOM_WORDS = 1 << 21, 1 << 23
 PARITY = 4  # 64-bit words of a parity bitmap
 
 
-def _power(least: int, wanted: float, most: int) -> int:
-    return min(most, max(least, 1 << math.ceil(math.log2(max(wanted, 1)))))
-
-
 def sketch_size(docs: DataFrame) -> int:
     """Counters for this input, by the planner's estimate of its bytes."""
-    return _power(SKETCH[0], float(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 128, SKETCH[1])
+    return power_of_two(SKETCH[0], float(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 1024, SKETCH[1])
 
 
 def _counter(values: np.ndarray, size: int) -> np.ndarray:
@@ -125,7 +119,7 @@ def boundary(counts: dict[int, int], share: tuple[int, int], list_length: float)
 
 
 def profile(docs: DataFrame, width: int, seed: int, id_col: str, text_col: str, size: int = SKETCH[0]) -> DataFrame:
-    """One pass: rows of (id, n, cls, cls2), and the task's shingle counters (32 bits each) in CHUNKS rows."""
+    """One pass: rows of (id, n, cls, cls2), and the task's shingle counters in CHUNKS rows, a byte each or four."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.uint32)
@@ -139,7 +133,7 @@ def profile(docs: DataFrame, width: int, seed: int, id_col: str, text_col: str,
             none = n == 0
             k = b.num_rows
             yield pa.RecordBatch.from_arrays([b["i"], pa.array(n), pa.array(one, mask=none), pa.array(two, mask=none), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
-        part = counts.astype("<u4").reshape(CHUNKS, -1)
+        part = counts.astype("<u4" if counts.max() > 255 else "u1").reshape(CHUNKS, -1)
         null = pa.nulls(CHUNKS, pa.int64())
         yield pa.RecordBatch.from_arrays([null, null, null, null, pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([x.tobytes() for x in part], pa.binary())], names=names)
 
@@ -154,7 +148,7 @@ def rarity(profiled: DataFrame, size: int = SKETCH[0]) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for c, x in zip(b["chunk"].to_pylist(), b["counts"].to_pylist(), strict=True):
-                sums[c] = sums.get(c, 0) + np.frombuffer(x, "<u4").astype(np.int64)
+                sums[c] = sums.get(c, 0) + np.frombuffer(x, "<u4" if len(x) > size // CHUNKS else "u1").astype(np.int64)
         packed = [np.minimum(np.rint(4 * np.log2(1 + x)), 255).astype(np.uint8).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "counts"])
 
@@ -205,30 +199,15 @@ def keys(docs: DataFrame, width: int, seed: int, share: tuple[int, int], most: i
     return written(got.mapInArrow(run, "kind int, cls long, n long, s int, keys array<long>"), "keys")
 
 
-def _bit_table(rows: DataFrame, hashed: Column):
-    """A broadcast bit table, one bit for each row, at the top bits of a hash: its size is bounded by BLOOM_WORDS."""
-    size = _power(BLOOM_WORDS[0], rows.count() * BITS_A_ROW / 64, BLOOM_WORDS[1])
-    at = rows.select(F.shiftrightunsigned(hashed, 59 - size.bit_length()).alias("h")).groupBy(F.shiftright("h", 6).alias("word"))
-    got = at.agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("bits")).toArrow()
-    full = np.zeros(size, np.int64)
-    full[got["word"].to_numpy()] = got["bits"].to_numpy()
-    return rows.sparkSession.sparkContext.broadcast(full)
-
-
-def _in_table(held, hashed: np.ndarray) -> pa.Array:
-    h = (hashed.view(np.uint64) >> np.uint64(59 - len(held.value).bit_length())).astype(np.int64)
-    return pa.array(((held.value[h >> 6] >> (h & 63)) & 1).astype(bool))
-
-
 def lists(keyed: DataFrame) -> DataFrame:
     """Entries (key, cls, n, pos) of inverted lists with two entries or more."""
     large = keyed.filter("kind = 1")
     shared = written(large.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1").select("key"), "shared")
-    held = _bit_table(shared, F.xxhash64("key"))
+    held = bit_table(shared, F.xxhash64("key"))
 
     def screen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(_in_table(held, b["h"].to_numpy()))
+            yield b.filter(in_table(held, b["h"].to_numpy()))
 
     rows = large.select("cls", "n", F.posexplode("keys").alias("pos", "key")).withColumn("h", F.xxhash64("key"))
     rows = rows.mapInArrow(screen, rows.schema).drop("h")  # what is surely in one list alone goes before the shuffle
@@ -273,10 +252,10 @@ def _rest_pairs(entries: DataFrame, labels: DataFrame, share: tuple[int, int], m
     return got.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
 
 
-def _near(pairs: DataFrame, keyed: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs that their parity bitmaps do not rule out."""
+def _near(pairs: DataFrame, marks: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs that their parity bitmaps do not rule out. marks: one row a class, written, so that a class in very many
+    pairs can be split."""
     num, den = share
-    marks = keyed.filter("kind = 2").select("cls", "n", "keys").dropDuplicates(["cls"])
     x = marks.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
     y = marks.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
     apart = " + ".join(f"bit_count(ka[{i}] ^ kb[{i}])" for i in range(PARITY))
@@ -287,15 +266,15 @@ def _near(pairs: DataFrame, keyed: DataFrame, share: tuple[int, int]) -> DataFra
 def _texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
     """(cls, t): one text of each wanted class; nothing is shuffled. A text is smaller than its set of hashes."""
     reps = written(classes.join(wanted, "cls", "left_semi").select("cls", "rep"), "wanted")
-    by_id, by_class = _bit_table(reps, F.xxhash64("rep")), _bit_table(reps, F.col("cls"))
+    by_id, by_class = bit_table(reps, F.xxhash64("rep")), bit_table(reps, F.col("cls"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in batches:
-            b = b.filter(_in_table(by_id, b["h"].to_numpy()))
+            b = b.filter(in_table(by_id, b["h"].to_numpy()))
             cls, _ = _class_keys(*_sets(b["t"], width), seed)
             first = pa.array([not (c in done or done.add(c)) for c in cls.tolist()], pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(cls), b["t"]], names=["cls", "t"]).filter(pc.and_(first, _in_table(by_class, cls)))
+            yield pa.RecordBatch.from_arrays([pa.array(cls), b["t"]], names=["cls", "t"]).filter(pc.and_(first, in_table(by_class, cls)))
 
     got = docs.select(F.xxhash64(F.col(id_col).cast("long")).alias("h"), F.col(text_col).alias("t"))
     return got.mapInArrow(run, "cls long, t string")
@@ -343,17 +322,18 @@ def join_components(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     most = boundary({r["n"]: r["count"] for r in light.groupBy("n").count().collect()}, share, list_length)
     keyed = keys(docs, width, seed, share, most, spark.sparkContext.broadcast(ranks), id_col, text_col)
     entries = lists(keyed)
+    marks = written(keyed.filter("kind = 2").select("cls", "n", "keys").dropDuplicates(["cls"]), "marks")
 
     # a class has one representative row unless ids repeat; only then must its text be made single again
     once = rows.groupBy("id").count().filter("count > 1").isEmpty()
     single = (lambda x: x) if once else (lambda x: x.dropDuplicates(["cls"]))
 
-    pairs = written(_near(_small_pairs(keyed).unionByName(_first_pairs(entries, share, most)).distinct(), keyed, share), "pairs")
+    pairs = written(_near(_small_pairs(keyed).unionByName(_first_pairs(entries, share, most)).distinct(), marks, share), "pairs")
     texts = written(single(_texts_of(docs, classes, _nodes(pairs), width, seed, id_col, text_col)), "texts")
     edges = written(_verified(pairs, texts, width, share), "links")
     labels = components(edges)
 
-    rest = written(_near(_rest_pairs(entries, labels, share, most).distinct().join(pairs, ["a", "b"], "left_anti"), keyed, share), "pairs")
+    rest = written(_near(_rest_pairs(entries, labels, share, most).distinct().join(pairs, ["a", "b"], "left_anti"), marks, share), "pairs")
     if not rest.isEmpty():
         texts = written(single(_texts_of(docs, classes, _nodes(rest), width, seed, id_col, text_col)), "texts")
         found = written(_verified(rest, texts, width, share), "links")
