@@ -368,3 +368,12 @@ def test_shapefiles(spark, tmp_path):
     assert got == [("Point", "POINT (-97.7431 30.2672)", "Austin"), ("Polygon", "POLYGON ((0 0, 1 0, 1 1, 0 0))", "Square"), ("Null", None, "None")]
     with pytest.raises(ValueError, match="cut off"):
         list(shapes.geometries(b"\0" * 100 + records[:20]))
+
+
+def test_closure_reaches_a_node_once_however_many_paths_and_edges(spark):
+    ladder = [(f"{i}{a}", f"{i + 1}{b}") for i in range(8) for a in "xyz" for b in "xyz"] + [("8x", "0x")]  # 3^8 paths, and a cycle
+    got = {(r.key, r.node): r.depth for r in K.closure(spark.createDataFrame(ladder, "child string, parent string"), spark.createDataFrame([("0x",)], "key string")).collect()}
+    assert len(got) == 1 + 3 * 8 and all(d == int(n[0]) for (_, n), d in got.items())
+    many = spark.range(1_200_000).selectExpr("concat('c', id) as child", "concat('p', id % 7) as parent")
+    up = K.closure(many, many.select(F.col("child").alias("key")))
+    assert up.groupBy("depth").count().orderBy("depth").collect() == [(0, 1_200_000), (1, 1_200_000)]
