@@ -50,6 +50,8 @@ _LEET_BYTE[[ord(c) for c in LEET if ord(c) < 128]] = True
 _END_MARK = np.zeros(256, bool)
 _END_MARK[[ord(c) for c in "!|+"]] = True
 _SWAP_COST, _GAP_COST, _REPEAT_COST = 1.0, 0.5, 1.0
+#: Bytes of texts whose words are held at a time; a longer text stands alone.
+BLOCK = 1 << 19
 
 
 @dataclass
@@ -69,8 +71,8 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         counts = np.zeros(SIZE**3, np.int64)
         for b in batches:
             raw, off = text_buffer(pc.utf8_lower(b["t"]))
-            for lo in range(0, len(raw), 1 << 20):
-                c = CLASS[raw[max(lo - 2, 0) : lo + (1 << 20)]]
+            for lo in range(0, len(raw), BLOCK):
+                c = CLASS[raw[max(lo - 2, 0) : lo + BLOCK]]
                 code = (c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:]
                 counts += np.bincount(code, minlength=SIZE**3)
             cuts = off[1:-1]
@@ -263,10 +265,26 @@ def _features(texts: pa.Array, model: Model, kinds: Iterable[int]) -> tuple[dict
     return {k: parts[k] if k else whole for k in kinds}, owner
 
 
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive rows whose texts have at most BLOCK bytes, one row at least."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(size)
+    lo = 0
+    while lo < len(ends):
+        hi = max(int(np.searchsorted(ends, ends[lo] - size[lo] + BLOCK, "right")), lo + 1)
+        yield lo, hi
+        lo = hi
+
+
 def scores(texts: pa.Array, model: Model) -> np.ndarray:
-    out = np.full(len(texts), model.base)
+    """The scores of texts, a block of them at a time."""
     if not model.entries or not len(texts):
-        return out
+        return np.full(len(texts), model.base)
+    return np.concatenate([_block_scores(texts.slice(lo, hi - lo), model) for lo, hi in _blocks(texts)])
+
+
+def _block_scores(texts: pa.Array, model: Model) -> np.ndarray:
+    out = np.full(len(texts), model.base)
     found, owner = _features(texts, model, model.entries)
     rows, words, logs = [], [], []
     for kind, (hashes, log_not) in model.entries.items():

@@ -172,3 +172,12 @@ def test_scores_of_toxicity_equal_brute_force(spark):
         total = -2.0 * ("idiot" in seen) - 0.5 * ("nice" in seen)
         assert abs(score - (1 - 0.9 * math.exp(total) if total else 0.1)) < 1e-9, text
     assert got[1] == got[0] == got[3] and got[4] == got[5] == 0.1
+
+
+def test_scores_do_not_hang_on_blocks(model, monkeypatch):
+    texts = pa.array(["", None, "the river", "you 1d10t " * 3, "", "plain words near", "i d i o t", "x" * 400, None])
+    whole = T.scores(texts, model)
+    for size in (1, 8, 40):
+        monkeypatch.setattr(T, "BLOCK", size)
+        assert T.scores(texts, model).tolist() == whole.tolist()
+        assert T.scores(texts.slice(3, 4), model).tolist() == whole[3:7].tolist()
